@@ -87,10 +87,8 @@ def _layout(radius: int, blocks: int) -> list[tuple[int, list[tuple[int, int]]]]
 
 
 def _gray_rank(code: Column) -> Column:
-    """Place of a code in the reflected Gray sequence."""
-    for by in (1, 2, 4, 8, 16, 32):
-        code = code.bitwiseXOR(F.shiftrightunsigned(code, by))
-    return code
+    """Place of a code in the reflected Gray sequence; a fold, as nesting would write each step out twice."""
+    return F.aggregate(F.array(*map(F.lit, (1, 2, 4, 8, 16, 32))), code, lambda x, by: x.bitwiseXOR(F.call_function("shiftrightunsigned", x, by)))
 
 
 def _pairs(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,9 +179,9 @@ def fingerprint_links(nodes: DataFrame, radius: int, blocks: int, check_radius:
         for shift, w in free:
             part = F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << w) - 1).cast("long"))
             code = F.shiftleft(code, w).bitwiseOR(part)
-        entries.append(F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("pattern"), _gray_rank(code).alias("rank")))
+        entries.append(F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("pattern"), code.alias("code")))
     extra = ["check"] if check_radius is not None else []
-    dealt = nodes.select("node", *extra, F.explode(F.array(*entries)).alias("e")).select("e.mask", "e.pattern", "e.rank", "node", *extra)
+    dealt = nodes.select("node", *extra, F.explode(F.array(*entries)).alias("e")).select("e.mask", "e.pattern", _gray_rank(F.col("e.code")).alias("rank"), "node", *extra)
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = dealt.repartition(parts, "mask", "pattern").sortWithinPartitions("mask", "pattern", "rank", *extra, "node")
 
