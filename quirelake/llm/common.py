@@ -39,3 +39,11 @@ def unit_hash(key: Column, seed: int) -> Column:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_text(df: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, int]:
+    """The key columns, the text after them unless it is one of them, and the text's place."""
+    columns = [F.col(f"`{k}`") for k in keys]
+    if text in keys:
+        return df.select(*columns), keys.index(text)
+    return df.select(*columns, F.col(f"`{text}`").alias("__text")), len(keys)

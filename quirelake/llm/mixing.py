@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import cut_lineage, unit_hash, word_count
 
 #: Buckets of the Pareto key; only the bucket in which a source's draw ends is sorted.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 12
 #: Rows of per-source tables up to which they are broadcast; beyond, they are joined by shuffle.
 SMALL_ROWS = 50_000
 
@@ -67,11 +69,85 @@ def inclusion(classes: DataFrame, repeats: int) -> DataFrame:
     )
 
 
+def _measured(df: DataFrame, doc_id: str, source: str, size: Column | None, level: Column | None, seed: int) -> DataFrame:
+    """df with what the draw looks at, in columns named m_*."""
+    df = df.withColumn("m_size", word_count(F.col("text")) if size is None else size.cast("long"))
+    df = df.withColumn("m_level", (F.length(F.bin("m_size")) if level is None else level).cast("long"))
+    return df.withColumn("m_id", F.col(f"`{doc_id}`")).withColumn("m_source", F.col(f"`{source}`")).withColumn("m_u", unit_hash(F.col("m_id"), seed))
+
+
+@dataclass(frozen=True)
+class MixPlan:
+    """classes: what each (source, level) gets; cuts: where each source's draw ends and what fills its last gap. rows: of classes."""
+
+    classes: DataFrame
+    cuts: DataFrame
+    rows: int
+
+    def apply(self, measured: DataFrame) -> DataFrame:
+        """measured with m_source_size, m_target and m_copies; row by row once the plan is broadcast."""
+        joined = _keyed(measured, self)
+        cuts = _small(self.cuts, self.rows)
+        met = joined.join(cuts, joined.m_source.eqNullSafe(cuts.cut_source), "left")
+        place = F.struct("m_key", "m_id", "m_size")
+        inside = F.col("end").isNull() | (F.col("m_bucket") < F.col("end")) | ((F.col("m_bucket") == F.col("end")) & (place <= F.col("cut")))
+        drawn = F.col("m_open") & F.coalesce(inside, F.lit(False))
+        fills = F.col("m_open") & ~drawn & F.coalesce(place == F.col("fill"), F.lit(False))
+        copies = F.when(F.col("m_size") > 0, F.col("whole") + drawn.cast("long") + fills.cast("long")).otherwise(0).cast("long")
+        return met.withColumn("m_copies", copies).drop("m_key", "m_bucket", "m_open", "whole", "p", "draw", "cut_source", "end", "cut", "fill")
+
+
+def _keyed(measured: DataFrame, plan: MixPlan) -> DataFrame:
+    """measured with its class's figures, its Pareto key and the key's bucket."""
+    classes = _small(plan.classes, plan.rows)
+    joined = measured.join(classes, measured.m_source.eqNullSafe(classes.source) & (measured.m_level == classes.level)).drop(classes.source).drop(classes.level)
+    odds = (F.col("m_u") * (1 - F.col("p"))) / ((1 - F.col("m_u")) * F.col("p"))
+    joined = joined.withColumn("m_open", (F.col("p") > 0) & (F.col("m_size") > 0)).withColumn("m_key", F.when(F.col("m_open"), odds / (1 + odds)))
+    return joined.withColumn("m_bucket", F.floor(F.col("m_key") * BUCKETS))
+
+
+def plan_mix(measured: DataFrame, weights: tuple[int, ...], repeats: int) -> MixPlan:
+    """The plan of a mix, from the m_* columns alone."""
+    narrow = measured.select("m_id", "m_source", "m_size", "m_level", "m_u")
+    classes = cut_lineage(narrow.groupBy(F.col("m_source").alias("source"), F.col("m_level").alias("level")).agg(F.sum("m_size").alias("class_size")))
+    rows = classes.count()
+    targets = source_targets(classes.groupBy("source").agg(F.sum("class_size").alias("source_size")), list(weights), repeats)
+    solved = classes.join(targets, classes.source.eqNullSafe(targets.source)).select(classes["*"], "source_size", "target")
+    solved = cut_lineage(inclusion(solved, repeats).select("source", "level", F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target"), "whole", "p", "draw"))
+    open_ = _keyed(narrow, MixPlan(solved, solved, rows)).filter("m_open")
+
+    sums = open_.groupBy("m_source", "m_bucket").agg(F.sum("m_size").alias("words"), F.first("draw").alias("draw"))
+    upto = Window.partitionBy("m_source").orderBy("m_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sums.withColumn("upto", F.sum("words").over(upto)).filter("upto > draw").groupBy("m_source")
+    ends = ends.agg(F.min(F.struct("m_bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("e"))
+    ends = cut_lineage(ends.select(F.col("m_source").alias("end_source"), F.col("e.m_bucket").alias("end"), F.col("e.before").alias("before")))
+    small_ends = _small(ends, rows)
+    place = F.struct("m_key", "m_id", "m_size")
+    edge = open_.join(small_ends, open_.m_source.eqNullSafe(small_ends.end_source) & (open_.m_bucket == small_ends.end))
+    ordered = Window.partitionBy("m_source").orderBy("m_key", "m_id", "m_size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = edge.withColumn("upto", F.sum("m_size").over(ordered) + F.col("before")).filter("upto <= draw")
+    edge = edge.groupBy(F.col("m_source").alias("cut_source")).agg(F.max(place).alias("cut"))
+    cuts = cut_lineage(ends.join(edge, ends.end_source.eqNullSafe(edge.cut_source), "left").select("end_source", "end", "cut"))
+
+    small_cuts = _small(cuts, rows)
+    met = open_.join(small_cuts, open_.m_source.eqNullSafe(small_cuts.end_source), "left")
+    inside = F.col("end").isNull() | (F.col("m_bucket") < F.col("end")) | ((F.col("m_bucket") == F.col("end")) & (place <= F.col("cut")))
+    met = met.withColumn("drawn", F.coalesce(inside, F.lit(False)))
+    gaps = met.groupBy("m_source").agg((F.first("draw") - F.sum(F.when(F.col("drawn"), F.col("m_size")).otherwise(0)).cast("double")).alias("gap"))
+    gaps = _small(cut_lineage(gaps.withColumnRenamed("m_source", "gap_source")), rows)
+    left = met.filter("not drawn").join(gaps, met.m_source.eqNullSafe(gaps.gap_source)).withColumn("off", F.abs(F.col("m_size") - F.col("gap")))
+    fill = left.filter("off < gap").groupBy(F.col("m_source").alias("fill_source")).agg(F.min(F.struct("off", "m_key", "m_id", "m_size")).alias("f"))
+    fill = fill.select("fill_source", F.struct("f.m_key", "f.m_id", "f.m_size").alias("fill"))
+    cuts = cuts.join(fill, cuts.end_source.eqNullSafe(fill.fill_source), "left").select(F.col("end_source").alias("cut_source"), "end", "cut", "fill")
+    return MixPlan(solved, cut_lineage(cuts), rows)
+
+
 def mix(
-    docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: Column | None = None, level: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 7
+    docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: Column | None = None, level: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 7, keep_columns: bool = False
 ) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies and taken (copies times size).
 
+    With keep_columns, all columns of docs with m_size, m_source_size, m_target and m_copies instead, without a shuffle of the rows.
     size defaults to the words of `text`; level, a positive integer with few values, to the digits of
     size in base 2: expected copies grow with it, as a size measure steadies what a draw of documents
     weighs. Each document gets the whole part of its expected copies for certain. The fraction p is its
@@ -81,48 +157,16 @@ def mix(
 
     Null sources are one source, last in order; null and empty texts have size 0 and are never taken.
     Rows that share doc_id, size and source share their random number and are drawn or left together.
-    An empty table gives an empty one. Other columns are not read. A sum of buckets finds where a draw ends,
+    An empty table gives an empty one. Other columns are not read. Sums of buckets of the order find where a draw ends,
     so a hot source is never sorted as a whole; per-source tables are broadcast up to SMALL_ROWS rows.
     """
-    size = word_count(F.col("text")) if size is None else size
-    narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size"))
-    narrow = narrow.withColumn("level", F.length(F.bin("size")) if level is None else level).withColumn("u", unit_hash(F.col("doc_id"), seed))
-    narrow = cut_lineage(narrow)
-    classes = cut_lineage(narrow.groupBy("source", F.col("level").cast("long").alias("level")).agg(F.sum("size").alias("class_size")))
-    rows = classes.count()
-    targets = source_targets(classes.groupBy("source").agg(F.sum("class_size").alias("source_size")), list(weights), repeats)
-    plan = classes.join(targets, classes.source.eqNullSafe(targets.source)).select(classes["*"], "source_size", "target")
-    plan = _small(cut_lineage(inclusion(plan, repeats)), rows)
-
-    joined = narrow.join(plan, narrow.source.eqNullSafe(plan.source) & (narrow.level == plan.level)).drop(plan.source).drop(plan.level)
-    odds = (F.col("u") * (1 - F.col("p"))) / ((1 - F.col("u")) * F.col("p"))
-    joined = joined.withColumn("open", (F.col("p") > 0) & (F.col("size") > 0)).withColumn("key", F.when(F.col("open"), odds / (1 + odds)))
-    joined = joined.withColumn("bucket", F.floor(F.col("key") * BUCKETS))
-
-    sums = joined.filter("open").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("draw").alias("draw"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sums.withColumn("upto", F.sum("words").over(upto)).filter("upto > draw").groupBy("source")
-    ends = ends.agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("e"))
-    ends = _small(ends.select(F.col("source").alias("end_source"), F.col("e.bucket").alias("end"), F.col("e.before").alias("before")), rows)
-
-    met = joined.join(ends, joined.source.eqNullSafe(ends.end_source), "left").drop("end_source")
-    at_end = F.col("open") & F.col("end").isNotNull() & (F.col("bucket") == F.col("end"))
-    clear = met.filter(~F.coalesce(at_end, F.lit(False))).withColumn("drawn", F.col("open") & (F.col("end").isNull() | (F.col("bucket") < F.col("end"))))
-    ordered = Window.partitionBy("source").orderBy("key", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    tight = met.filter(at_end).withColumn("drawn", F.sum("size").over(ordered) + F.col("before") <= F.col("draw"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "open", "key", "draw", "drawn"]
-    drawn = cut_lineage(clear.select(columns).unionByName(tight.select(columns)))
-
-    gaps = drawn.groupBy("source").agg((F.first("draw") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).cast("double")).alias("gap"))
-    gaps = _small(gaps.withColumnRenamed("source", "gap_source"), rows)
-    left = drawn.filter("open and not drawn").join(gaps, drawn.source.eqNullSafe(gaps.gap_source)).withColumn("off", F.abs(F.col("size") - F.col("gap")))
-    fill = left.filter("off < gap").groupBy("source").agg(F.min(F.struct("off", "key", "doc_id", "size")).alias("fill"))
-    fill = _small(fill.withColumnRenamed("source", "fill_source"), rows)
-    last = drawn.join(fill, drawn.source.eqNullSafe(fill.fill_source), "left")
-    fills = ~F.col("drawn") & F.col("open") & F.col("key").eqNullSafe(F.col("fill.key")) & F.col("doc_id").eqNullSafe(F.col("fill.doc_id")) & (F.col("size") == F.col("fill.size"))
-    copies = F.col("whole") + F.col("drawn").cast("long") + F.coalesce(fills, F.lit(False)).cast("long")
-    out = last.select(F.col("doc_id").alias(doc_id), F.col("source").alias(source), "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies"))
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    measured = _measured(docs, doc_id, source, size, level, seed)
+    narrow = cut_lineage(measured.select("m_id", "m_source", "m_size", "m_level", "m_u"))
+    made = plan_mix(narrow, weights, repeats).apply(measured if keep_columns else narrow)
+    if keep_columns:
+        return made.drop("m_id", "m_source", "m_level", "m_u")
+    names = {"m_id": doc_id, "m_source": source, "m_size": "size", "m_source_size": "source_size", "m_target": "target", "m_copies": "copies"}
+    return made.select(*[F.col(k).alias(v) for k, v in names.items()], (F.col("m_copies") * F.col("m_size")).alias("taken"))
 
 
 ORACLE = r"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import chat, decontaminate, language, mixing, simhash, toxicity, urls
-from quirelake.llm.common import held_out, table
+from quirelake.llm import chat, cotraining, decontaminate, language, mixing, quality_rules, simhash, toxicity, urls, warc
+from quirelake.llm.common import cut_lineage, held_out, table
 
 #: The rules of op7.
 RULES = [
@@ -58,23 +58,59 @@ def op5_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "far")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    counts = quality_rules.with_counts(docs, ["doc_id"]).withColumn("base_failed", quality_rules.base_failed())
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(quality_rules.keeps(rules))
+    return counts.select("doc_id", *quality_rules.COUNTS[:5], "base_failed", kept.alias("kept"))
+
+
 def op7_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), RULES, ["page_id"])
 
 
+def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.shared_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder, "page_id", "url", "html", revisit_bytes=0)
+    captures = warc.assemble(warc.read_records(spark, folder))
+    page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:capture:([^:]*):", 1), F.lit("")).cast("long")
+    told = F.element_at("metadata.fields", "payload-length").cast("long")
+    read = captures.select(
+        page(F.col("id")).alias("page_id"),
+        F.coalesce("response.payload_bytes", told).alias("payload_bytes"),
+        F.coalesce("response.measured_digest", "response.digest").alias("payload_digest"),
+        F.col("response.kind").alias("record_type"),
+        page(F.col("response.refers_to")).alias("refers_to"),
+    )
+    read = cut_lineage(read)
+    warc.delete_folder(spark, folder)
+    return read
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return groups.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = cotraining.fit(docs, labels.filter(~held_out(F.col("doc_id"))))
+    scored = cotraining.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_chat_format": op2_chat_format,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op5_language_centroids": op5_language_centroids,
+    "op6_quality_rules": op6_quality_rules,
     "op7_url_digests": op7_url_digests,
+    "op8_warc_captures": op8_warc_captures,
     "op9_simhash_groups": op9_simhash_groups,
+    "op10_cotraining": op10_cotraining,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,4 +118,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
     "op7_url_digests": urls.ORACLE,
+    "op8_warc_captures": warc.ORACLE,
 }

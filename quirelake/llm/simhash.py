@@ -228,26 +228,28 @@ def fingerprint_links(nodes: DataFrame, radius: int, blocks: int, check_radius:
 def near_duplicate_groups(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, blocks: int = 6, check_shingle: int | None = None, check_radius: int = 0
 ) -> DataFrame:
-    """One row a document: (doc_id, fp long, component_id): the smallest doc_id reachable over links.
+    """One row a document: (doc_id, version, fp, root, component_id), the last the smallest doc_id reachable over links.
 
     Fingerprints link at radius differing bits or fewer; with check_shingle, a second fingerprint
     with that shingle length must also be within check_radius. Words are runs without ASCII white
-    space, A-Z lower-cased. Null and empty texts have fingerprint 0 and link like any other. A null
-    doc_id is never the smallest; a group of nulls alone has a null component_id. Repeated rows stay
+    space, A-Z lower-cased. Null and empty texts have fingerprint 0 and link like any other. version is a hash of the text, root
+    names the group whatever its ids. A null doc_id is never the smallest; a group of nulls alone has a null component_id. Repeated rows stay
     and share a group; ties cannot arise as groups are sets. An empty table gives an empty one. Only the
     named columns are read, so others may have any name.
     """
     shingles = {"fp": shingle} | ({"check": check_shingle} if check_shingle else {})
-    kept = with_fingerprints(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), ["doc_id"], "text", shingles)
+    narrow = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("version"), F.col(f"`{text}`").alias("text"))
+    kept = with_fingerprints(narrow, ["doc_id", "version"], "text", shingles)
     kept = kept.withColumn("node", F.xxhash64("fp", "check") if check_shingle else F.col("fp"))
     kept = cut_lineage(kept)
     nodes = kept.groupBy("node", *shingles).agg(F.min("doc_id").alias("low"))
     roots = connected_components(fingerprint_links(nodes, radius, blocks, check_radius if check_shingle else None))
     linked = nodes.select("node", "low").join(roots, "node")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component"))
-    named = nodes.select("node", "low").join(roots.join(lowest, "root").select("node", "component"), "node", "left")
-    named = named.select("node", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component")).alias("component_id"))
-    return kept.join(named, "node").select(F.col("doc_id").alias(doc_id), "fp", "component_id")
+    named = nodes.select("node", "low").join(roots.join(lowest, "root"), "node", "left")
+    alone = F.col("root").isNull()
+    named = named.select("node", F.when(alone, F.col("node")).otherwise(F.col("root")).alias("root"), F.when(alone, F.col("low")).otherwise(F.col("component")).alias("component_id"))
+    return kept.join(named, "node").select(F.col("doc_id").alias(doc_id), "version", "fp", "root", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:

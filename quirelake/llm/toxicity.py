@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.common import with_text
 from quirelake.llm.linear import Ftrl, WordHasher, gram_features, sigmoid
 from quirelake.llm.sampling import bounded_sample
 
@@ -22,11 +23,11 @@ def _features(text: str | None, hasher: WordHasher) -> np.ndarray:
     return gram_features(h, BITS) if len(h) else np.empty(0, np.int32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN, epochs: int = 5, min_rows: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """(indices, weights, bias) of the coordinates that L1 left, from the whole texts of the documents in labels.
 
     Of several labels of an id the highest counts; null ids and labels teach nothing. Labelled rows above
-    max_train are sampled by a hash of the id. Rows are featurised where they lie; one task
+    max_train are sampled by a hash of the id. Features of fewer than min_rows of them are left out. Rows are featurised where they lie; one task
     fits on their indices, in the order of a hash of id and text, so that reruns agree.
     """
     marked = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
@@ -45,7 +46,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             y.extend(batch.column("y").to_pylist())
             at.extend(x.values.to_numpy() for x in batch.column("at"))
-        model = Ftrl(1 << BITS)
+        rows_with = np.bincount(np.concatenate([*at, np.empty(0, np.int32)]), minlength=1 << BITS)
+        at = [x[rows_with[x] >= min_rows] for x in at]
+        model = Ftrl(1 << BITS, alpha=0.4, l1=8.0)
         order = np.random.default_rng(5)
         for _ in range(epochs if y else 0):
             for i in order.permutation(len(y)).tolist():
@@ -68,16 +71,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keys: li
     Null and empty texts score what the bias says. Repeated rows stay; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.int32), model[1].astype(np.float32), model[2]))
-    narrow = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("__text"))
+    narrow, at = with_text(docs, keys, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w, bias = shared.value
+        kept, w, bias = shared.value
         dense = np.zeros(1 << BITS, np.float32)
-        dense[at] = w
+        dense[kept] = w
         hasher = WordHasher()
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for i, t in enumerate(batch.column(len(keys))):
+            for i, t in enumerate(batch.column(at)):
                 found = _features(t.as_py(), hasher)
                 found = np.unique(found[dense[found] != 0])
                 out[i] = bias + float(dense[found].sum(dtype=np.float64))
