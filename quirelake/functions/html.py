@@ -7,6 +7,7 @@ import html as _html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quirelake.functions.text import BIDI, metadata_url_ok, strip
 
@@ -20,7 +21,7 @@ DENIED_TAGS = "script style iframe object embed applet frame frameset noscript s
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else _html.unescape(t))
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quirelake.schema import Limits
 
@@ -34,7 +35,7 @@ TOKEN_COST = (1.07, 1.07, 0.24, 0.49)
 URL_SCHEMES = ("http", "https", "mailto", "tel")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
