@@ -76,6 +76,16 @@ def fingerprint(paths: set[str] | tuple[str, ...], layouts: tuple[Layout, ...] =
     return hashlib.sha256("\n".join(sorted(set(paths) & set(vocabulary(layouts)))).encode()).hexdigest()
 
 
+def resolve(paths: set[str], layouts: tuple[Layout, ...] = LAYOUTS) -> Layout | None:
+    """The layout of the paths' fingerprint; with known paths of other layouts among them, the one with most of its own, all present."""
+    found = registry(layouts)
+    if (own := fingerprint(paths, layouts)) in found:
+        return found[own]
+    fitting = [x for x in layouts if set(x.paths) <= paths]
+    best = max(fitting, key=lambda x: len(x.paths), default=None)
+    return best and found[fingerprint(best.paths, layouts)]
+
+
 def registry(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, Layout]:
     return {fingerprint(x.paths, layouts): x for x in layouts}
 
@@ -85,9 +95,9 @@ def canonical_turns(df: DataFrame, key: str = "conv_id", layouts: tuple[Layout,
 
     A table with one row a turn is grouped by key and ordered by turn (null first), then role and text, so that ties and
     repeated rows all stay, in a defined order; a null key is one conversation. Null roles and
-    texts are empty. ValueError for an unknown fingerprint. Extra columns are not read.
+    texts are empty. ValueError for fields that no layout fits. Extra columns are not read.
     """
-    found = registry(layouts).get(fingerprint(field_paths(df.schema), layouts))
+    found = resolve(field_paths(df.schema), layouts)
     if found is None:
         raise ValueError(f"no layout for the fields {sorted(field_paths(df.schema))}")
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +42,17 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_text(df: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, int]:
-    """The key columns, the text after them unless it is one of them, and the text's place."""
+def packed(df: DataFrame) -> DataFrame:
+    """df as one column `row`, so that no name of its columns can clash with what is computed beside them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def with_text(df: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, Callable]:
+    """The key columns, the text after them unless it is one of them or a field of one (key.field), and what takes it from a batch."""
     columns = [F.col(f"`{k}`") for k in keys]
+    head, _, field = text.partition(".")
     if text in keys:
-        return df.select(*columns), keys.index(text)
-    return df.select(*columns, F.col(f"`{text}`").alias("__text")), len(keys)
+        return df.select(*columns), lambda batch, at=keys.index(text): batch.column(at)
+    if field and head in keys:
+        return df.select(*columns), lambda batch, at=keys.index(head): batch.column(at).field(field)
+    return df.select(*columns, F.col(f"`{text}`").alias("__text")), lambda batch, at=len(keys): batch.column(at)

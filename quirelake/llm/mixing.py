@@ -69,11 +69,15 @@ def inclusion(classes: DataFrame, repeats: int) -> DataFrame:
     )
 
 
-def _measured(df: DataFrame, doc_id: str, source: str, size: Column | None, level: Column | None, seed: int) -> DataFrame:
-    """df with what the draw looks at, in columns named m_*."""
-    df = df.withColumn("m_size", word_count(F.col("text")) if size is None else size.cast("long"))
-    df = df.withColumn("m_level", (F.length(F.bin("m_size")) if level is None else level).cast("long"))
-    return df.withColumn("m_id", F.col(f"`{doc_id}`")).withColumn("m_source", F.col(f"`{source}`")).withColumn("m_u", unit_hash(F.col("m_id"), seed))
+def _measured(df: DataFrame, doc_id: str, source: str, size: Column | None, level: Column | None, seed: int, rows: bool) -> DataFrame:
+    """What the draw looks at, in columns named m_*, and with rows the whole row beside them."""
+    size = (word_count(F.col("text")) if size is None else size.cast("long")).alias("m_size")
+    own = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if rows else []
+    extra = [] if level is None else [level.cast("long").alias("m_level")]
+    out = df.select(*own, F.col(f"`{doc_id}`").alias("m_id"), F.col(f"`{source}`").alias("m_source"), size, *extra)
+    if level is None:
+        out = out.withColumn("m_level", F.length(F.bin("m_size")).cast("long"))
+    return out.withColumn("m_u", unit_hash(F.col("m_id"), seed))
 
 
 @dataclass(frozen=True)
@@ -147,7 +151,7 @@ def mix(
 ) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies and taken (copies times size).
 
-    With keep_columns, all columns of docs with m_size, m_source_size, m_target and m_copies instead, without a shuffle of the rows.
+    With keep_columns, a struct `row` of all columns of docs comes instead of doc_id and source, and rows are not shuffled.
     size defaults to the words of `text`; level, a positive integer with few values, to the digits of
     size in base 2: expected copies grow with it, as a size measure steadies what a draw of documents
     weighs. Each document gets the whole part of its expected copies for certain. The fraction p is its
@@ -160,12 +164,12 @@ def mix(
     An empty table gives an empty one. Other columns are not read. Sums of buckets of the order find where a draw ends,
     so a hot source is never sorted as a whole; per-source tables are broadcast up to SMALL_ROWS rows.
     """
-    measured = _measured(docs, doc_id, source, size, level, seed)
+    measured = _measured(docs, doc_id, source, size, level, seed, keep_columns)
     narrow = cut_lineage(measured.select("m_id", "m_source", "m_size", "m_level", "m_u"))
     made = plan_mix(narrow, weights, repeats).apply(measured if keep_columns else narrow)
-    if keep_columns:
-        return made.drop("m_id", "m_source", "m_level", "m_u")
     names = {"m_id": doc_id, "m_source": source, "m_size": "size", "m_source_size": "source_size", "m_target": "target", "m_copies": "copies"}
+    if keep_columns:
+        names = {"row": "row"} | {k: v for k, v in names.items() if k not in ("m_id", "m_source")}
     return made.select(*[F.col(k).alias(v) for k, v in names.items()], (F.col("m_copies") * F.col("m_size")).alias("taken"))
 
 

@@ -58,11 +58,11 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 
 def with_counts(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """The key columns and COUNTS."""
-    narrow, at = with_text(df, keys, text)
+    narrow, texts = with_text(df, keys, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_counts(t.as_py()) for t in batch.column(at)]
+            rows = [text_counts(t.as_py()) for t in texts(batch)]
             made = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], names=[*keys, *COUNTS])
 

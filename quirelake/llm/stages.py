@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm import decontaminate, mixing, quality_rules, simhash, toxicity
-from quirelake.llm.common import cut_lineage, table
+from quirelake.llm.common import cut_lineage, packed, table
 
 #: Keys of rows to be left out up to which they are broadcast; beyond, they are joined by shuffle.
 SMALL_KEYS = 1_000_000
@@ -27,14 +27,14 @@ def _without(docs: DataFrame, keys: DataFrame, on: list) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned ones reject."""
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    counted = quality_rules.with_counts(docs, docs.columns)
-    return counted.filter(~quality_rules.base_failed() & quality_rules.keeps(rules)).select(docs.columns)
+    counted = quality_rules.with_counts(packed(docs), ["row"], "row.text")
+    return counted.filter(~quality_rules.base_failed() & quality_rules.keeps(rules)).select("row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.3."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns).filter("score < 0.3").select(docs.columns)
+    return toxicity.score(packed(docs), model, ["row"], "row.text").filter("score < 0.3").select("row.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = _without(docs, gone.select(F.col("doc_id").alias("k_id"), F.col("version").alias("k_version")).distinct(), [(docs["doc_id"], "k_id"), (version, "k_version")])
     repeated = groups.groupBy("doc_id", "version").count().filter("count > 1").limit(1).count()
     if repeated:
-        left = left.withColumn("k_version", F.xxhash64("text")).dropDuplicates(["doc_id", "k_version"])
-    return left.select(docs.columns)
+        rows = packed(left).select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("version"))
+        left = rows.dropDuplicates(["id", "version"]).select("row.*")
+    return left
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +60,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with copies, and source_size and target of their source."""
-    mixed = mixing.mix(docs, keep_columns=True).filter("m_copies > 0")
-    return mixed.select(*docs.columns, F.col("m_copies").alias("copies"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"))
+    """The documents that the mix takes, with copies, and source_size and target of their source in place of any columns of these names."""
+    mixed = mixing.mix(docs, keep_columns=True).filter("copies > 0")
+    added = ["copies", "source_size", "target"]
+    return mixed.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)

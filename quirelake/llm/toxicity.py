@@ -16,6 +16,8 @@ from quirelake.llm.sampling import bounded_sample
 BITS = 20
 #: Labelled rows that a model is fitted on at most; a label's sample is broadcast, so this bounds that too.
 MAX_TRAIN = 16_000
+#: Bias of a model without labelled rows: nothing is toxic.
+NO_LABELS = -20.0
 
 
 def _features(text: str | None, hasher: WordHasher) -> np.ndarray:
@@ -46,11 +48,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             y.extend(batch.column("y").to_pylist())
             at.extend(x.values.to_numpy() for x in batch.column("at"))
+        if not y:
+            return
         rows_with = np.bincount(np.concatenate([*at, np.empty(0, np.int32)]), minlength=1 << BITS)
         at = [x[rows_with[x] >= min_rows] for x in at]
         model = Ftrl(1 << BITS, alpha=0.4, l1=8.0)
         order = np.random.default_rng(5)
-        for _ in range(epochs if y else 0):
+        for _ in range(epochs):
             for i in order.permutation(len(y)).tolist():
                 model.learn(at[i], float(y[i] > 0))
         w = model.weights()
@@ -59,7 +63,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     fitted = rows.mapInArrow(featurise, "key long, y int, at array<int>").repartition(1).sortWithinPartitions("key").mapInArrow(train, "at long, w double").toPandas()
     if fitted.empty:
-        return np.empty(0, np.int64), np.empty(0), 0.0
+        return np.empty(0, np.int64), np.empty(0), NO_LABELS
     bias = float(fitted.w[fitted["at"] == -1].sum())
     fitted = fitted[fitted["at"] >= 0]
     return fitted["at"].to_numpy(), fitted.w.to_numpy(), bias
@@ -71,7 +75,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keys: li
     Null and empty texts score what the bias says. Repeated rows stay; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.int32), model[1].astype(np.float32), model[2]))
-    narrow, at = with_text(docs, keys, text)
+    narrow, texts = with_text(docs, keys, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, w, bias = shared.value
@@ -80,7 +84,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keys: li
         hasher = WordHasher()
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for i, t in enumerate(batch.column(at)):
+            for i, t in enumerate(texts(batch)):
                 found = _features(t.as_py(), hasher)
                 found = np.unique(found[dense[found] != 0])
                 out[i] = bias + float(dense[found].sum(dtype=np.float64))
