@@ -62,11 +62,14 @@ def contained_items(
     small = F.broadcast if facts["rows"] <= SMALL_ROWS else (lambda df: df)
     lengths = sorted(facts["lengths"]) or [shingle]
     words = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{doc_text}`").alias("text")).withColumn("w", tokens(F.col("text")))
-    runs = [F.transform(_hashes("w", n), lambda h, i, n=n: F.struct(h.alias("h"), i.alias("i"), F.lit(n).alias("n"))) for n in lengths]
+
+    def placed(n: int) -> Column:
+        return F.transform(_hashes("w", n), lambda h, i: F.struct(h.alias("h"), i.alias("i"), F.lit(n).alias("n")))
+
     if len(lengths) == 1:
         runs = words.select("doc_id", "text", "w", F.posexplode(_hashes("w", lengths[0])).alias("i", "h")).withColumn("n", F.lit(lengths[0]))
     else:
-        runs = words.select("doc_id", "text", "w", F.explode(F.concat(*runs)).alias("r")).select("doc_id", "text", "w", "r.*")
+        runs = words.select("doc_id", "text", "w", F.explode(F.concat(*map(placed, lengths))).alias("r")).select("doc_id", "text", "w", "r.*")
     keys = each.select(F.split("shingle", " ").alias("w"), "n").distinct()
     hashes = [keys.filter(F.col("n") == n).select(F.xxhash64(*(F.get("w", F.lit(k)) for k in range(n))).alias("h")) for n in lengths]
     known = hashes[0]

@@ -12,7 +12,7 @@ A node has 2 ** (free bits) fingerprints at most, whatever the input; copies cou
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -30,44 +30,59 @@ _CHUNK = 1 << 16
 _PAIRS = 1 << 21
 
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """Unsigned SimHash of a text: bit i is set if over half of the shingles' XXH64 have it."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
+def _hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of `shingle` words, or of all of them if they are fewer."""
     if shingle == 1:
         parts = words
     elif len(words) <= shingle:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    count = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), parts), np.uint64, count)
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), parts), np.uint64, max(1, len(words) - shingle + 1))
+
+
+def _majority(hashes: np.ndarray, stream: int) -> int:
+    """The bits that over half of the hashes have; streams other than 0 scramble the hashes first, each in its way."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, count, _CHUNK):
-        octets = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(hashes), _CHUNK):
+        h = hashes[at : at + _CHUNK]
+        if stream:
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * stream)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        octets = h.view(np.uint8).reshape(-1, 8)
         if len(octets) < 256:
             ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         else:
             ones += np.concatenate([np.bincount(octets[:, j], minlength=256) @ _BITS for j in range(8)])
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(df: DataFrame, keys: list[str], text: str, shingles: dict[str, int]) -> DataFrame:
-    """The key columns and, for each name in shingles, the signed fingerprint with that shingle length."""
+def fingerprints(text: str | None, wanted: list[tuple[int, int]], seed: int = 42) -> list[int]:
+    """Unsigned SimHashes of a text, one for each (shingle length, stream); 0 without words."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return [0] * len(wanted)
+    hashes = {k: _hashes(words, k, seed) for k in {k for k, _ in wanted}}
+    return [_majority(hashes[k], stream) for k, stream in wanted]
+
+
+def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
+    """Unsigned SimHash of a text: bit i is set if over half of the shingles' XXH64 have it."""
+    return fingerprints(text, [(shingle, 0)], seed)[0]
+
+
+def with_fingerprints(df: DataFrame, keys: list[str], text: str, wanted: dict[str, tuple[int, int]]) -> DataFrame:
+    """The key columns and, for each name in wanted, the signed fingerprint with that shingle length and stream."""
     shaped = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {name: [] for name in shingles}
-            for t in batch.column(len(keys)):
-                t = t.as_py()
-                for name, k in shingles.items():
-                    out[name].append(fingerprint(t, k))
-            made = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in out.values()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], names=[*keys, *shingles])
-
-    schema = ", ".join([*(f"`{k}` {shaped.schema[k].dataType.simpleString()}" for k in keys), *(f"`{n}` long" for n in shingles)])
+            rows = [fingerprints(t.as_py(), list(wanted.values())) for t in batch.column(len(keys))]
+            made = np.array(rows, np.uint64).reshape(len(rows), len(wanted)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(made[:, i]) for i in range(len(wanted)))], names=[*keys, *wanted])
+
+    schema = ", ".join([*(f"`{k}` {shaped.schema[k].dataType.simpleString()}" for k in keys), *(f"`{n}` long" for n in wanted)])
     return shaped.mapInArrow(run, schema)
 
 
@@ -226,24 +241,27 @@ def fingerprint_links(nodes: DataFrame, radius: int, blocks: int, check_radius:
 
 
 def near_duplicate_groups(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, blocks: int = 6, check_shingle: int | None = None, check_radius: int = 0
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, blocks: int = 6, tables: int = 1, check_shingle: int | None = None, check_radius: int = 0
 ) -> DataFrame:
     """One row a document: (doc_id, version, fp, root, component_id), the last the smallest doc_id reachable over links.
 
-    Fingerprints link at radius differing bits or fewer; with check_shingle, a second fingerprint
-    with that shingle length must also be within check_radius. Words are runs without ASCII white
+    Fingerprints link at radius differing bits or fewer, in any of `tables` independent fingerprints; with check_shingle, a further
+    fingerprint with that shingle length must also be within check_radius. Words are runs without ASCII white
     space, A-Z lower-cased. Null and empty texts have fingerprint 0 and link like any other. version is a hash of the text, root
     names the group whatever its ids. A null doc_id is never the smallest; a group of nulls alone has a null component_id. Repeated rows stay
     and share a group; ties cannot arise as groups are sets. An empty table gives an empty one. Only the
     named columns are read, so others may have any name.
     """
-    shingles = {"fp": shingle} | ({"check": check_shingle} if check_shingle else {})
+    prints = {"fp" if s == 0 else f"fp{s}": (shingle, s) for s in range(tables)}
+    wanted = prints | ({"check": (check_shingle, 0)} if check_shingle else {})
     narrow = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("version"), F.col(f"`{text}`").alias("text"))
-    kept = with_fingerprints(narrow, ["doc_id", "version"], "text", shingles)
-    kept = kept.withColumn("node", F.xxhash64("fp", "check") if check_shingle else F.col("fp"))
+    kept = with_fingerprints(narrow, ["doc_id", "version"], "text", wanted)
+    kept = kept.withColumn("node", F.xxhash64(*wanted) if len(wanted) > 1 else F.col("fp"))
     kept = cut_lineage(kept)
-    nodes = kept.groupBy("node", *shingles).agg(F.min("doc_id").alias("low"))
-    roots = connected_components(fingerprint_links(nodes, radius, blocks, check_radius if check_shingle else None))
+    nodes = kept.groupBy("node", *wanted).agg(F.min("doc_id").alias("low"))
+    checked = ["check"] if check_shingle else []
+    links = [fingerprint_links(nodes.select("node", F.col(p).alias("fp"), *checked), radius, blocks, check_radius if check_shingle else None) for p in prints]
+    roots = connected_components(reduce(DataFrame.union, links))
     linked = nodes.select("node", "low").join(roots, "node")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component"))
     named = nodes.select("node", "low").join(roots.join(lowest, "root"), "node", "left")
