@@ -239,6 +239,20 @@ def test_form_lines():
     assert P.render_page(boxes(rows), "", P.DocumentStats()).text == "Name: Meier Hans\nOrt: Basel\nBetrag: 12.50"
 
 
+def test_boxes_below_labels():
+    rows = [[(50, "Kunden-Nr."), (200, "Datum"), (400, "Betrag CHF")], [(50, "10482"), (200, "12.03.2024"), (400, "1'200.00")], [], [(50, "Some closing words of the letter")]]
+    got = P.render_page(boxes(rows), "", P.DocumentStats())
+    assert got.text == "Kunden-Nr.: 10482\nDatum: 12.03.2024\nBetrag CHF: 1'200.00\n\nSome closing words of the letter"
+
+
+def test_columns_of_prose_beside_a_table():
+    prose = [[(50, f"left words of line {i}"), (320, f"right words of line {i}")] for i in "abcdef"]
+    table = [[], [(50, "Item"), (400, "2023", 1)], [(50, "One"), (400, "10.00", 1)], [(50, "Two"), (400, "20.00", 1)], [(50, "Three"), (400, "30.00", 1)]]
+    lines = P.render_page(boxes(prose + table), "", P.DocumentStats()).text.split("\n")
+    assert lines[0] == " ".join(f"left words of line {i}" for i in "abcdef") and lines[2] == " ".join(f"right words of line {i}" for i in "abcdef")
+    assert lines[-1] == "Three | 2023: 30.00"
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.integers(0, 9), st.text(alphabet="abc19.'", min_size=1, max_size=6)), min_size=1, max_size=4), min_size=1, max_size=12))
 def test_rendering_keeps_words_and_rules(rows):
