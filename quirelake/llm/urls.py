@@ -1,15 +1,16 @@
 """URL filtering by a sorted digest array.
 
 The rules' keys, host and path, are hashed to 64 bits and sorted; the full strings lie beside them. Each
-Python worker writes the array to an unlinked file of its own and maps it into memory, so that pages of
-the index are shared with the file cache and nothing is left behind. URLs are judged a batch at a
+Python worker writes the array to a nameless file of its own and maps it into memory, so that nothing
+touches a folder or is left behind. URLs are judged a batch at a
 time: the keys that might fit are hashed, found by binary search over all at once, and each
 hit is confirmed by comparing the stored string.
 """
 
 from __future__ import annotations
 
-import tempfile
+import mmap
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,13 +77,16 @@ def build_index(rules: list[Rule]) -> DigestIndex:
 
 
 def _mapped(data: bytes, kind: type) -> np.ndarray:
-    """The bytes as an array over a memory-mapped file that no folder lists."""
+    """The bytes as an array over a memory-mapped file without a name or a folder."""
     if not data:
         return np.empty(0, kind)
-    with tempfile.TemporaryFile() as f:
-        f.write(data)
-        f.flush()
-        return np.memmap(f, dtype=kind, mode="r")
+    handle = os.memfd_create("digests")
+    try:
+        with os.fdopen(os.dup(handle), "wb") as f:
+            f.write(data)
+        return np.frombuffer(mmap.mmap(handle, len(data), access=mmap.ACCESS_READ), kind)
+    finally:
+        os.close(handle)
 
 
 class Prober:

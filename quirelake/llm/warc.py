@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import cut_lineage
+from quirelake.llm.common import checkpoint_folder, cut_lineage
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _EOL = "\r\n"
@@ -174,12 +174,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path below the session's checkpoint folder, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="quirelake-")
-    return f"{base.rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
 
 
 def delete_folder(spark: SparkSession, folder: str) -> None:
