@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quirelake.llm import stages
 from quirelake.llm.common import table
-from quirelake.llm.warc import shared_folder
+from quirelake.llm.warc import delete_folder, shared_folder
 
 STAGES = [
     ("quality rules", stages.quality_stage),
@@ -21,11 +21,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the stages make of documents. Their tables lie in a fresh folder below the checkpoint folder."""
+    """What the stages make of documents. Their tables lie in a fresh folder below the checkpoint folder, each until the next is written."""
     docs = table(spark, sf_dir, "documents")
     folder = shared_folder(spark).replace("warc-", "pipeline-")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            delete_folder(spark, f"{folder}/{k - 1}.parquet")
         docs = spark.read.parquet(path)
     return docs
