@@ -24,21 +24,20 @@ MAX_POOL = 8_000
 _PIECE = re.compile(r"\w+|[^\w\s]+")
 
 
-def _shape(text: str) -> list[str]:
+def _shape(pieces: list[str]) -> list[str]:
     """Coarse classes of a text's pieces, so that unseen words still say something."""
-    pieces = _PIECE.findall(text)
     n = max(1, len(pieces))
-    upper = sum(1 for p in pieces if len(p) > 1 and p.isupper())
-    marks = sum(1 for p in pieces if not p[0].isalnum() and p[0] != "_")
-    distinct = len(set(pieces))
-    return [f"upper {10 * upper // n}", f"marks {10 * marks // n}", f"distinct {10 * distinct // n}"]
+    upper, marks = sum(map(str.isupper, pieces)), len(pieces) - sum(map(str.isalnum, pieces))
+    return [f"upper {10 * upper // n}", f"marks {10 * marks // n}", f"distinct {10 * len(set(pieces)) // n}"]
 
 
-def text_view(text: str | None, hasher: WordHasher) -> np.ndarray:
-    text = text or ""
-    h = hasher(text)
-    own = np.array([xxhash.xxh64_intdigest(s) >> (64 - BITS) for s in _shape(text)], np.int32)
-    return np.unique(np.append(gram_features(h, BITS, grams=2, skips=0), own)) if len(h) else np.unique(own)
+def text_view(text: str | None, hasher: WordHasher, kept: np.ndarray | None = None) -> np.ndarray:
+    """Distinct indices of pieces, of pairs of neighbours and of the shape; with kept, of those that it marks only."""
+    pieces = hasher.words(text or "")
+    own = np.array([xxhash.xxh64_intdigest(s) >> (64 - BITS) for s in _shape(pieces)], np.int32)
+    if pieces:
+        own = np.append(gram_features(hasher.hashes(pieces), BITS, grams=2, skips=0), own)
+    return np.unique(own if kept is None else own[kept[own]])
 
 
 def meta_view(source: str | None, lang: str | None, text: str | None) -> np.ndarray:
@@ -127,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str =
     rows = rows.select(F.xxhash64("id", "text").alias("key"), F.coalesce("y", F.lit(-1)).alias("y"), "source", "lang", "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher = WordHasher(_PIECE)
         for batch in batches:
             said, meta = [], []
             for s, lang, t in zip(*(batch.column(c) for c in ("source", "lang", "text")), strict=True):
@@ -182,14 +181,15 @@ def score(docs: DataFrame, model: Views | None, keys: list[str]) -> DataFrame:
         if m:
             text_w, meta_w = np.zeros(1 << BITS, np.float32), np.zeros(1 << META_BITS, np.float32)
             text_w[m.text_at], meta_w[m.meta_at] = m.text_w, m.meta_w
-        hasher = WordHasher()
+            kept = text_w != 0
+        hasher = WordHasher(_PIECE)
         for batch in batches:
             a, b = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             prior = 0.0
             if m:
                 for i, (s, lang, t) in enumerate(zip(*batch.columns[n:], strict=True)):
                     t = t.as_py()
-                    a[i] = text_w[text_view(t, hasher)].sum(dtype=np.float64)
+                    a[i] = text_w[text_view(t, hasher, kept)].sum(dtype=np.float64)
                     b[i] = meta_w[meta_view(s.as_py(), lang.as_py(), t)].sum(dtype=np.float64)
                 a, b = m.calibration[0] * (a + m.text_bias) + m.calibration[1], m.calibration[2] * (b + m.meta_bias) + m.calibration[3]
                 prior = m.calibration[4]

@@ -18,7 +18,12 @@ class WordHasher:
         self.pattern, self.limit, self.known = pattern, limit, {}
 
     def __call__(self, text: str) -> np.ndarray:
-        words = self.pattern.findall(text)
+        return self.hashes(self.words(text))
+
+    def words(self, text: str) -> list[str]:
+        return self.pattern.findall(text)
+
+    def hashes(self, words: list[str]) -> np.ndarray:
         known = self.known
         if len(known) > self.limit:
             known.clear()
