@@ -28,6 +28,8 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _CHUNK = 1 << 16
 #: Pairs of index nodes looked at in one go.
 _PAIRS = 1 << 21
+#: Share of all rows from which copies of one fingerprint are named by broadcast.
+HOT_SHARE = 1e-4
 
 
 def _hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
@@ -258,16 +260,27 @@ def near_duplicate_groups(
     kept = with_fingerprints(narrow, ["doc_id", "version"], "text", wanted)
     kept = kept.withColumn("node", F.xxhash64(*wanted) if len(wanted) > 1 else F.col("fp"))
     kept = cut_lineage(kept)
-    nodes = kept.groupBy("node", *wanted).agg(F.min("doc_id").alias("low"))
+    nodes = kept.groupBy("node", *wanted).agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
     checked = ["check"] if check_shingle else []
     links = [fingerprint_links(nodes.select("node", F.col(p).alias("fp"), *checked), radius, blocks, check_radius if check_shingle else None) for p in prints]
     roots = connected_components(reduce(DataFrame.union, links))
     linked = nodes.select("node", "low").join(roots, "node")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component"))
-    named = nodes.select("node", "low").join(roots.join(lowest, "root"), "node", "left")
+    named = nodes.select("node", "low", "n").join(roots.join(lowest, "root"), "node", "left")
     alone = F.col("root").isNull()
-    named = named.select("node", F.when(alone, F.col("node")).otherwise(F.col("root")).alias("root"), F.when(alone, F.col("low")).otherwise(F.col("component")).alias("component_id"))
-    return kept.join(named, "node").select(F.col("doc_id").alias(doc_id), "version", "fp", "root", "component_id")
+    named = named.select("node", "n", F.when(alone, F.col("node")).otherwise(F.col("root")).alias("root"), F.when(alone, F.col("low")).otherwise(F.col("component")).alias("component_id"))
+    found = _join_names(kept.select("doc_id", "version", "fp", "node"), named)
+    return found.select(F.col("doc_id").alias(doc_id), "version", "fp", "root", "component_id")
+
+
+def _join_names(kept: DataFrame, named: DataFrame) -> DataFrame:
+    """kept with its node's names. Nodes with a HOT_SHARE of all rows or more, so 1 / HOT_SHARE at most, are broadcast; the others' rows are shuffled."""
+    named = cut_lineage(named)
+    hot = F.col("n") >= max(kept.count() * HOT_SHARE, 2)
+    many = F.broadcast(named.filter(hot).drop("n").withColumn("hot", F.lit(True)))
+    split = kept.join(many, "node", "left")
+    rest = split.filter("hot is null").drop("root", "component_id", "hot").join(named.filter(~hot).drop("n"), "node")
+    return split.filter("hot").drop("hot").unionByName(rest)
 
 
 def fingerprint_hex(fp: Column) -> Column:
