@@ -27,7 +27,7 @@ from quirelake.llm.components import connected_components
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _CHUNK = 1 << 16
 #: Pairs of index nodes looked at in one go.
-_PAIRS = 1 << 21
+_PAIRS = 1 << 17
 #: Share of all rows from which copies of one fingerprint are named by broadcast.
 HOT_SHARE = 1e-4
 
@@ -228,7 +228,7 @@ def fingerprint_links(nodes: DataFrame, radius: int, blocks: int, check_radius:
             rows += batch.num_rows
             last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in (0, 1))
             first = tuple(held[0].column(c)[0].as_py() for c in (0, 1))
-            if rows < 100_000 or first == last:
+            if rows < 50_000 or first == last:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             same = (table.column("mask").to_numpy() == last[0]) & (table.column("pattern").to_numpy() == last[1])
