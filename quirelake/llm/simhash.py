@@ -135,6 +135,8 @@ def search_groups(group: np.ndarray, rank: np.ndarray, width: int, radius: int,
         new[1:] |= prefix[1:] != prefix[:-1]
         starts.append(np.flatnonzero(new))
     starts.append(np.arange(n))
+    children = [np.searchsorted(below, np.append(own, n)) for own, below in zip(starts, starts[1:], strict=False)]
+    sizes_of = [np.diff(c) for c in children]
 
     def unite(i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
@@ -151,8 +153,7 @@ def search_groups(group: np.ndarray, rank: np.ndarray, width: int, radius: int,
         if level == len(starts) - 1:
             unite(a, b)
             return
-        child = np.searchsorted(starts[level + 1], np.append(starts[level], n))
-        size = np.diff(child)
+        child, size = children[level], sizes_of[level]
         work = np.cumsum(size[a] * size[b])
         lo = 0
         while lo < len(a):
