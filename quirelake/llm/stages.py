@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import decontaminate, mixing, quality_rules, simhash, toxicity
+from quirelake.llm import decontaminate, mixing, near_copies, quality_rules, toxicity
 from quirelake.llm.common import cut_lineage, packed, table
 
 #: Keys of rows to be left out up to which they are broadcast; beyond, they are joined by shuffle.
 SMALL_KEYS = 1_000_000
-#: Near duplicates: any of three word fingerprints within four bits, and five-word fingerprints within 16. Texts with a similarity of 0.8
-#: of their five-word shingles differ in some 3 bits of the former and 10 of the latter.
-TABLES, WORD_RADIUS, BLOCKS, SHINGLE, SHINGLE_RADIUS = 3, 4, 7, 5, 16
 
 
 def _without(docs: DataFrame, keys: DataFrame, on: list) -> DataFrame:
@@ -40,8 +37,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id, and of several rows of it one."""
-    groups = simhash.near_duplicate_groups(docs, shingle=1, radius=WORD_RADIUS, blocks=BLOCKS, tables=TABLES, check_shingle=SHINGLE, check_radius=SHINGLE_RADIUS)
-    groups = cut_lineage(groups.select("doc_id", "version", "root"))
+    groups = cut_lineage(near_copies.near_copy_groups(docs))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")
     first = groups.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("r"), "first")
     gone = groups.join(first, groups.root == first.r).filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))))
