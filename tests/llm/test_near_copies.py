@@ -1,8 +1,11 @@
-"""Near copies of the pipeline: the groups of brute force, and no links between unlike texts."""
+"""Near copies of the pipeline: the groups of brute force, and what edits of each kind are found."""
 
 import random
 from itertools import combinations
 
+import numpy as np
+import pytest
+
 from quirelake.llm import near_copies, stages
 
 
@@ -71,3 +74,21 @@ def test_long_prose_of_one_skewed_vocabulary_stays(spark, sf):
     rng = random.Random(4)
     docs = frame(spark, [" ".join(f"w{int(rng.paretovariate(1.2)) % 400}" for _ in range(6000)) for _ in range(40)])
     assert stages.dedup_stage(spark, docs, sf).count() == 40
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_bands_find_each_kind_of_copy(kind):
+    """At a similarity from 0.8 to 0.85, whatever the length."""
+    rng = random.Random(kind)
+    for n in (60, 150, 400):
+        met = all_pairs = 0
+        while all_pairs < 100:
+            w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            c = edited(rng, w, kind, KINDS[kind] * rng.uniform(0.85, 1.15))
+            a, b = shingles(" ".join(w)), shingles(" ".join(c))
+            if not 0.8 <= len(a & b) / len(a | b) <= 0.85:
+                continue
+            keys = [near_copies.band_keys(near_copies.shingle_set([x.encode() for x in t])) for t in (w, c)]
+            all_pairs += 1
+            met += bool(np.any(keys[0] == keys[1]))
+        assert met >= 0.98 * all_pairs
