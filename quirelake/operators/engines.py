@@ -19,17 +19,22 @@ Engine = Callable[[bytes, dict], str]
 def recognize(pages: DataFrame, keys: list[str], engine: Engine, options: dict | None = None, limits: Limits = Limits(), clock: Callable[[], float] = time.monotonic) -> DataFrame:
     """pages (keys, image, status) with tsv: pages whose status is done are read; an engine's error makes it failed.
 
-    Once a task has spent the time budget, the pages that it has left are skipped. One Python worker is one engine.
+    The first key is the document. Its pages are read in order by one task, and once they have spent the time budget, the rest of
+    that document's pages are skipped; the next document's clock starts anew. Images that are not to be read are not shuffled. One Python worker is one engine.
     """
     options = options or {}
     budget = limits.ocr_time_budget_seconds
-    narrow = pages.select(*keys, "image", "status")
+    image = F.when(F.col("status") == "done", F.col("image")).alias("image")
+    narrow = pages.select(*keys, image, "status").repartition(F.col(keys[0])).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        began = clock()
+        began, last = 0.0, object()
         for pdf in batches:
             status, read = [], []
-            for image, was in zip(pdf["image"], pdf["status"], strict=True):
+            for own, image, was in zip(pdf[keys[0]], pdf["image"], pdf["status"], strict=True):
+                own = None if pd.isna(own) else own
+                if own != last:
+                    began, last = clock(), own
                 tsv = None
                 if was == "done" and clock() - began > budget:
                     was = "skipped"

@@ -57,6 +57,25 @@ def test_cache_and_budget(spark):
     assert {r.status for r in late.collect()} == {"skipped"}
 
 
+def test_time_budget_is_of_a_document(spark):
+    """Each look at the clock takes a second; thirty short documents and one slow one in few tasks."""
+
+    class Clock:
+        now = 0
+
+        def __call__(self):
+            self.now += 1
+            return self.now
+
+    rows = [(d, p, bytearray(b"img"), "done") for d in range(30) for p in range(3)] + [(99, p, bytearray(b"img"), "done") for p in range(20)]
+    pages = spark.createDataFrame(rows, "doc int, page int, image binary, status string").coalesce(1)
+    got = engines.recognize(pages, ["doc", "page"], fake, {"language": "deu+eng"}, Limits(ocr_time_budget_seconds=10.0), Clock()).collect()
+    assert len(got) == len(rows)
+    assert {r.status for r in got if r.doc != 99} == {"done"}
+    assert [r.status for r in sorted(got) if r.doc == 99] == ["done"] * 10 + ["skipped"] * 10
+    assert all((r.tsv is not None) == (r.status == "done") for r in got)
+
+
 def test_image_measures():
     page = np.full((200, 300), 230, np.uint8)
     for y in range(20, 180, 20):
