@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Share of all rows from which the rows of one key are named by broadcast; the table of such keys has 1 / HOT_SHARE rows at most.
+HOT_SHARE = 1e-4
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,10 +21,13 @@ def word_count(text: Column) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, a temporary one in local mode, as in tests; ValueError on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirelake-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quirelake-checkpoint-"))
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
@@ -61,3 +66,17 @@ def with_text(df: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, Cal
     if field and head in keys:
         return df.select(*columns), lambda batch, at=keys.index(head): batch.column(at).field(field)
     return df.select(*columns, F.col(f"`{text}`").alias("__text")), lambda batch, at=len(keys): batch.column(at)
+
+
+def join_names(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """rows with the other columns of named, joined by key, which is unique in named and never null; named.n is how many rows have the key.
+
+    Keys with a HOT_SHARE of all rows or more are broadcast, so that their rows stay where they are; the others' rows are shuffled.
+    """
+    named = cut_lineage(named)
+    hot = F.col("n") >= max(rows.count() * HOT_SHARE, 2)
+    told = [c for c in named.columns if c not in (key, "n")]
+    many = F.broadcast(named.filter(hot).drop("n").withColumn("__hot", F.lit(True)))
+    split = rows.join(many, key, "left")
+    rest = split.filter("__hot is null").drop(*told, "__hot").join(named.filter(~hot).drop("n"), key)
+    return split.filter("__hot").drop("__hot").unionByName(rest)

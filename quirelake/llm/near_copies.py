@@ -1,10 +1,12 @@
 """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash bands, whose recall depends on the similarity alone, not on where a copy was
-edited: a pair at 0.8 shares one of 16 bands of four with a probability of 0.9998. Every link is then
-verified by the shingle sets of both whole texts. Pairs that are one component already need no comparison, so
-each band's rows are first compared with one of them, some rounds long with another one each, and
-only then all that are still apart with each other, as far as a prefix filter, which loses none, lets them.
+The Gray-order index of `simhash` links texts whose SimHashes of the same shingles are a few bits apart; these
+links are cheap, but at a similarity of 0.8 fingerprints are ten bits apart on average. What they leave apart meets in
+MinHash bands, whose recall depends on the similarity alone, not on where a copy was edited: a pair at 0.8
+shares one of 16 bands of four with a probability of 0.9998. Every link is verified by the shingle sets of
+both whole texts. Pairs that are one component already need no comparison, so each band's rows are compared
+with the one of them that is most central, and only then those that are still apart with each other, as far as a prefix
+filter by shingle, place and size, which loses none, lets them.
 """
 
 from __future__ import annotations
@@ -18,15 +20,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import cut_lineage
+from quirelake.llm.common import cut_lineage, join_names
 from quirelake.llm.components import connected_components
-from quirelake.llm.simhash import _hashes, _join_names
+from quirelake.llm.simhash import fingerprint_links, majority, shingle_hashes, words
 
 SHINGLE, BANDS, ROWS = 5, 16, 4
+#: Bits that fingerprints of index links differ in at most, and the index's blocks.
+RADIUS, BLOCKS = 2, 6
 #: The similarity from which texts are copies, as a fraction.
 AT_LEAST = (4, 5)
-#: Rounds in which a band's rows are compared with one of them.
-ROUNDS = 2
 #: Comparisons with one text that share a copy of it.
 SHARE = 256
 #: Sets from which a shingle counts as common and comes last in the order of shingles.
@@ -39,13 +41,9 @@ _XOR, _ODD = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False)
 _ODD |= np.uint64(1)
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
-def shingle_set(words: list[bytes]) -> np.ndarray:
+def shingle_set(found: list[bytes]) -> np.ndarray:
     """Sorted XXH64 of the distinct shingles; fewer words than a shingle are one, no words are none."""
-    return np.unique(_hashes(words, SHINGLE, 42)) if words else np.zeros(0, np.uint64)
+    return np.unique(shingle_hashes(found, SHINGLE)) if found else np.zeros(0, np.uint64)
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -60,22 +58,25 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def with_bands(rows: DataFrame) -> DataFrame:
-    """(doc_id, version, node, size, bands) of (doc_id, version, text); node is a hash of the text's words, size the number of its shingles."""
+    """(doc_id, version, node, size, fp, bands) of (doc_id, version, text); node is a hash of the text's words, size the number of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, size, bands = [], [], []
+            node, size, fp, bands = [], [], [], []
             for text in batch.column(2):
-                words = _words(text.as_py())
-                own = shingle_set(words)
-                node.append(xxhash.xxh64_intdigest(b" ".join(words), seed=42))
+                found = words(text.as_py())
+                hashes = shingle_hashes(found, SHINGLE) if found else np.zeros(0, np.uint64)
+                own = np.unique(hashes)
+                node.append(xxhash.xxh64_intdigest(b" ".join(found), seed=42))
                 size.append(len(own))
-                bands.append(band_keys(own).view(np.int64) if len(own) else [])
-            made = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc_id", "version", "node", "size", "bands"])
+                fp.append(majority(hashes) if found else 0)
+                bands.append(band_keys(own).view(np.int64) if found else [])
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
+            made = [signed[0], pa.array(size, pa.int64()), signed[1], pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc_id", "version", "node", "size", "fp", "bands"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, version long, node long, size long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, version long, node long, size long, fp long, bands array<long>")
 
 
 def with_shingles(rows: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def with_shingles(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(_words(t.as_py())).view(np.int64) for t in batch.column(1)]
+            sets = [shingle_set(words(t.as_py())).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return rows.mapInArrow(run, "node long, shingles array<long>")
@@ -101,7 +102,7 @@ def _sizes_allow(a: str, b: str) -> Column:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough. Copies of a set with many pairs are dealt out."""
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("copies")).filter("copies > 1")
-    many = F.broadcast(cut_lineage(many))
+    many = _small(cut_lineage(many))
     slot = F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")
     dealt = pairs.join(many, "b", "left").select("a", "b", slot.alias("slot"))
     dealt = dealt.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("own")), "a")
@@ -111,75 +112,87 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(held, ["b", "slot"]).filter(alike).select("a", "b")
 
 
+def index_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that the Gray-order index links, in proportion to the nodes (node, fp): a star around one node of each fingerprint, and the index's stars between these."""
+    hubs = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")))
+    links = fingerprint_links(hubs.select(F.col("hub").alias("node"), "fp"), RADIUS, BLOCKS)
+    repeated = hubs.filter("n > 1").select("fp", "hub")
+    same = nodes.join(_small(cut_lineage(repeated)), "fp").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return links.unionByName(same).distinct()
+
+
 def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs (a, b) of rest's nodes of different comp that can be similar enough; rest: (node, size, comp).
 
-    In any one order of all shingles, similar sets have one in common among the first that each may lack, and one more.
-    The order here has shingles of many sets last. No pair is lost.
+    In any one order of all shingles, two sets share no more than what follows the first that they have in common, itself
+    included, in either. So a shingle at some place of a set bounds how large a partner that meets it there may be (cap), and few places in
+    front need a look. The order here is by the number of sets that have a shingle, so that what many share comes last. Places that no partner in reach meets, by the
+    smallest set and the largest cap among a shingle's places, are left out before the join, and pairs within a shingle's most frequent
+    component are never made. No pair is lost.
     """
+    num, den = AT_LEAST
     each = cut_lineage(rest.join(sets, "node").select("node", "size", "comp", F.explode("shingles").alias("s")))
     common = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMMON)
     placed = each.join(_small(cut_lineage(common)), "s", "left").select("node", "size", "comp", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s").alias("at"))
-    lacking = F.col("size") - F.ceil(F.col("size") * AT_LEAST[0] / AT_LEAST[1] - 1e-9)
+    lacking = F.col("size") - F.ceil(F.col("size") * num / den - 1e-9)
     first = placed.groupBy("node", "size", "comp").agg(F.sort_array(F.collect_list("at")).alias("all"))
-    first = first.select("node", "size", "comp", F.explode(F.transform(F.slice("all", F.lit(1), (lacking + 1).cast("int")), lambda x: x["s"])).alias("s"))
-    first = cut_lineage(first)
-    other = first.select("s", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("comp").alias("b_comp"))
-    met = first.join(other, "s").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("b_comp")) & _sizes_allow("size", "b_size"))
-    return met.select(F.col("node").alias("a"), "b")
-
-
-def links(met: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Verified edges (a, b) that connect the same nodes as all verified pairs of a band do; met: (band, node, size)."""
-    found: list[DataFrame] = []
-    state = met.withColumn("comp", F.col("node"))
-
-    def add(pairs: DataFrame) -> bool:
-        pairs = cut_lineage(pairs.distinct())
-        if pairs.isEmpty():
-            return False
-        found.append(cut_lineage(verified(pairs, sets)))
-        return True
-
-    def renamed() -> DataFrame:
+    first = first.select("node", "size", "comp", F.posexplode(F.transform(F.slice("all", F.lit(1), (lacking + 1).cast("int")), lambda x: x["s"])).alias("place", "s"))
+    first = cut_lineage(first.withColumn("cap", F.floor((F.col("size") - F.col("place")) * (num + den) / num + 1e-9) - F.col("size")).drop("place"))
+    by = first.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("cap").alias("high"))
+    by = by.groupBy("s").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.min("low").alias("low"), F.max("high").alias("high"))
+    shared = cut_lineage(by.filter("comps > 1 and high >= low").select("s", "major", "low", "high"))
+    near = cut_lineage(first.join(_small(shared), "s").filter("cap >= low and size <= high").select("s", "node", "size", "comp", "cap", "major"))
+    one = near.filter("comp <> major").select("s", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("comp").alias("a_comp"), F.col("cap").alias("a_cap"))
+    met = one.join(near, "s").filter("comp <> a_comp and size <= a_cap and a_size <= cap and (comp = major or a < node)")
+    return met.select("a", F.col("node").alias("b"))
+
+
+def links(met: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Verified edges (a, b) that connect the same nodes as all verified pairs of a band and the verified edges known do; met: (band, node, size, score)."""
+    found = [known]
+
+    def named() -> DataFrame:
         roots = connected_components(reduce(DataFrame.union, found))
-        named = met.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("comp"))
-        return cut_lineage(named)
-
-    for k in range(ROUNDS):
-        one = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("at"), F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("comp").alias("b_comp")))
-        heads = state.groupBy("band").agg(one.alias("one"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("band", "one.b", "one.b_size", "one.b_comp")
-        heads = cut_lineage(heads)
-        if heads.isEmpty() or not add(state.join(_small(heads), "band").filter((F.col("comp") != F.col("b_comp")) & _sizes_allow("size", "b_size")).select(F.col("node").alias("a"), "b")):
-            break
-        state = renamed()
+        return cut_lineage(met.join(roots, "node", "left").select("band", "node", "size", "score", F.coalesce("root", "node").alias("comp")))
+
+    def add(pairs: DataFrame) -> None:
+        found.append(cut_lineage(verified(cut_lineage(pairs.distinct()), sets)))
+
+    state = named()
+    centre = F.max(F.struct("score", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("comp").alias("b_comp")))
+    mixed = state.groupBy("band").agg(centre.alias("one"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    heads = cut_lineage(mixed.select("band", "one.b", "one.b_size", "one.b_comp"))
+    add(state.join(_small(heads), "band").filter((F.col("comp") != F.col("b_comp")) & _sizes_allow("size", "b_size")).select(F.col("node").alias("a"), "b"))
+    state = named()
     apart = state.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("band")
-    apart = cut_lineage(apart)
-    if not apart.isEmpty():
-        rest = cut_lineage(state.join(_small(apart), "band").select("node", "size", "comp").distinct())
-        add(prefix_pairs(rest, sets))
-    return reduce(DataFrame.union, found) if found else None
+    add(prefix_pairs(cut_lineage(state.join(_small(cut_lineage(apart)), "band").select("node", "size", "comp").distinct()), sets))
+    return reduce(DataFrame.union, found)
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, root), one row a row of docs: rows of one root are connected by texts with a similarity of AT_LEAST.
+    """(doc_id, version, root, first), one row a row of docs: rows of one root are connected by texts with a similarity of AT_LEAST.
 
     Words are runs without ASCII white space, A-Z lower-cased; texts of the same words are copies, texts without words are copies of
-    each other. version is a hash of the text. Shingles are compared as 64-bit hashes.
+    each other. version is a hash of the text; first (doc_id, version) is the group's row with the smallest id, null after all, of
+    several of it the one with the smallest version. Shingles are compared as 64-bit hashes. Repeated rows stay; an empty table
+    gives an empty one.
     """
     narrow = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     kept = cut_lineage(with_bands(narrow))
-    nodes = kept.groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("from"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")
+    nodes = kept.groupBy("node").agg(F.min(place).alias("from"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
     nodes = cut_lineage(nodes)
+    pairs = cut_lineage(index_pairs(nodes.filter("size > 0").select("node", "fp")))
     entries = nodes.select("node", "size", F.explode("bands").alias("band"))
-    shared = cut_lineage(entries.groupBy("band").count().filter("count > 1").select("band"))
-    met = cut_lineage(entries.join(_small(shared), "band").select("band", "node", "size"))
-    wanted = cut_lineage(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("from.doc_id").alias("k_id"), F.col("from.version").alias("k_version")))
+    shared = cut_lineage(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    met = cut_lineage(entries.join(_small(shared), "band").select("band", "node", "size", "n"))
+    met = met.drop("n").join(met.groupBy("node").agg(F.sum("n").alias("score")), "node")
+    ends = met.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = cut_lineage(nodes.join(ends, "node", "left_semi").select("node", F.col("from.doc_id").alias("k_id"), F.col("from.version").alias("k_version")))
     texts = narrow.join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("version") == F.col("k_version")))
     sets = cut_lineage(with_shingles(texts.select("node", "text")).dropDuplicates(["node"]))
-    edges = links(met, sets)
-    if edges is None:
-        return kept.select("doc_id", "version", F.col("node").alias("root"))
-    roots = connected_components(edges)
-    named = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.lit(None).cast("long").alias("component_id"))
-    return _join_names(kept.select("doc_id", "version", "node"), named).select("doc_id", "version", "root")
+    roots = connected_components(links(met, sets, cut_lineage(verified(pairs, sets))))
+    named = cut_lineage(nodes.join(roots, "node", "left").select("node", "n", "from", F.coalesce("root", "node").alias("root")))
+    first = named.groupBy("root").agg(F.min("from").alias("first"), F.count(F.lit(1)).alias("n"))
+    named = join_names(named.select("node", F.col("n").alias("rows"), "root"), first, "root").withColumnRenamed("rows", "n")
+    return join_names(kept.select("doc_id", "version", "node"), named, "node").select("doc_id", "version", "root", F.struct("first.doc_id", "first.version").alias("first"))

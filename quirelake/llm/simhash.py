@@ -12,7 +12,7 @@ A node has 2 ** (free bits) fingerprints at most, whatever the input; copies cou
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -21,18 +21,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import cut_lineage
+from quirelake.llm.common import cut_lineage, join_names
 from quirelake.llm.components import connected_components
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _CHUNK = 1 << 16
 #: Pairs of index nodes looked at in one go.
 _PAIRS = 1 << 17
-#: Share of all rows from which copies of one fingerprint are named by broadcast.
-HOT_SHARE = 1e-4
 
 
-def _hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
     """XXH64 of each run of `shingle` words, or of all of them if they are fewer."""
     if shingle == 1:
         parts = words
@@ -43,16 +41,11 @@ def _hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
     return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), parts), np.uint64, max(1, len(words) - shingle + 1))
 
 
-def _majority(hashes: np.ndarray, stream: int) -> int:
-    """The bits that over half of the hashes have; streams other than 0 scramble the hashes first, each in its way."""
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
-        h = hashes[at : at + _CHUNK]
-        if stream:
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * stream)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-        octets = h.view(np.uint8).reshape(-1, 8)
+        octets = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
         if len(octets) < 256:
             ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         else:
@@ -60,31 +53,27 @@ def _majority(hashes: np.ndarray, stream: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(text: str | None, wanted: list[tuple[int, int]], seed: int = 42) -> list[int]:
-    """Unsigned SimHashes of a text, one for each (shingle length, stream); 0 without words."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return [0] * len(wanted)
-    hashes = {k: _hashes(words, k, seed) for k in {k for k, _ in wanted}}
-    return [_majority(hashes[k], stream) for k, stream in wanted]
+def words(text: str | None) -> list[bytes]:
+    """Runs without ASCII white space, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "replace").lower().split()
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """Unsigned SimHash of a text: bit i is set if over half of the shingles' XXH64 have it."""
-    return fingerprints(text, [(shingle, 0)], seed)[0]
+    """Unsigned SimHash of a text: bit i is set if over half of the shingles' XXH64 have it; 0 without words."""
+    found = words(text)
+    return majority(shingle_hashes(found, shingle, seed)) if found else 0
 
 
-def with_fingerprints(df: DataFrame, keys: list[str], text: str, wanted: dict[str, tuple[int, int]]) -> DataFrame:
-    """The key columns and, for each name in wanted, the signed fingerprint with that shingle length and stream."""
+def with_fingerprints(df: DataFrame, keys: list[str], text: str, shingle: int) -> DataFrame:
+    """The key columns and fp, the signed fingerprint."""
     shaped = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [fingerprints(t.as_py(), list(wanted.values())) for t in batch.column(len(keys))]
-            made = np.array(rows, np.uint64).reshape(len(rows), len(wanted)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(made[:, i]) for i in range(len(wanted)))], names=[*keys, *wanted])
+            made = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(len(keys))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(made.view(np.int64))], names=[*keys, "fp"])
 
-    schema = ", ".join([*(f"`{k}` {shaped.schema[k].dataType.simpleString()}" for k in keys), *(f"`{n}` long" for n in wanted)])
+    schema = ", ".join([*(f"`{k}` {shaped.schema[k].dataType.simpleString()}" for k in keys), "fp long"])
     return shaped.mapInArrow(run, schema)
 
 
@@ -116,11 +105,10 @@ def _pairs(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pair, k // size_b[pair], k % size_b[pair]
 
 
-def search_groups(group: np.ndarray, rank: np.ndarray, width: int, radius: int, check: np.ndarray | None, check_radius: int) -> np.ndarray:
+def search_groups(group: np.ndarray, rank: np.ndarray, width: int, radius: int) -> np.ndarray:
     """For each code its component's first row; rows are sorted by group and Gray rank.
 
-    Two rows of a group link if their codes differ in radius bits at most (and their check words, if
-    given, in check_radius). Only components come out, never pairs.
+    Two rows of a group link if their codes differ in radius bits at most. Only components come out, never pairs.
     """
     n = len(group)
     root = np.arange(n)
@@ -169,8 +157,6 @@ def search_groups(group: np.ndarray, rank: np.ndarray, width: int, radius: int,
             rows_i, rows_j = starts[level + 1][i], starts[level + 1][j]
             more = acc[lo:hi][pair] + np.bitwise_count(part[rows_i] ^ part[rows_j])
             keep = more <= radius
-            if check is not None and level + 1 == len(starts) - 1:
-                keep &= np.bitwise_count(check[rows_i] ^ check[rows_j]) <= check_radius
             if keep.any():
                 walk(level + 1, i[keep], j[keep], more[keep])
             lo = hi
@@ -182,12 +168,12 @@ def search_groups(group: np.ndarray, rank: np.ndarray, width: int, radius: int,
     return root
 
 
-def fingerprint_links(nodes: DataFrame, radius: int, blocks: int, check_radius: int | None = None) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
     """Edges (a, b) that connect the same nodes as all pairs within the radius do.
 
-    nodes: (node long, fp long[, check long]), one row a node. Two nodes link if their fp differ in
-    radius bits at most and, with check_radius, their check in that many at most. Of each index
-    group only a spanning forest comes out, so that edges stay in proportion to the nodes.
+    nodes: (node long, fp long), one row a node. Two nodes link if their fp differ in radius bits at most. Of each index
+    group only a star comes out, around the component's smallest node, so that edges stay in proportion to the nodes and
+    groups of different masks that hold the same component give the same edges.
     """
     layout = _layout(radius, blocks)
     widths = [sum(w for _, w in free) for _, free in layout]
@@ -198,10 +184,9 @@ def fingerprint_links(nodes: DataFrame, radius: int, blocks: int, check_radius:
             part = F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << w) - 1).cast("long"))
             code = F.shiftleft(code, w).bitwiseOR(part)
         entries.append(F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("pattern"), code.alias("code")))
-    extra = ["check"] if check_radius is not None else []
-    dealt = nodes.select("node", *extra, F.explode(F.array(*entries)).alias("e")).select("e.mask", "e.pattern", _gray_rank(F.col("e.code")).alias("rank"), "node", *extra)
+    dealt = nodes.select("node", F.explode(F.array(*entries)).alias("e")).select("e.mask", "e.pattern", _gray_rank(F.col("e.code")).alias("rank"), "node")
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(parts, "mask", "pattern").sortWithinPartitions("mask", "pattern", "rank", *extra, "node")
+    dealt = dealt.repartition(parts, "mask", "pattern").sortWithinPartitions("mask", "pattern", "rank", "node")
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         col = {c: table.column(c).to_numpy() for c in table.column_names}
@@ -213,11 +198,13 @@ def fingerprint_links(nodes: DataFrame, radius: int, blocks: int, check_radius:
             at = np.flatnonzero(~alone & np.isin(col["mask"], [k for k, w in enumerate(widths) if w == width]))
             if not len(at):
                 continue
-            check = col["check"][at].view(np.uint64) if extra else None
-            root = search_groups(group[at], col["rank"][at].view(np.uint64), width, radius, check, check_radius or 0)
-            linked = np.flatnonzero(root != np.arange(len(at)))
+            root = search_groups(group[at], col["rank"][at].view(np.uint64), width, radius)
             ends = col["node"][at]
-            yield pa.RecordBatch.from_arrays([pa.array(ends[linked]), pa.array(ends[root[linked]])], names=["a", "b"])
+            lowest = ends.copy()
+            np.minimum.at(lowest, root, ends)
+            hub = lowest[root]
+            linked = np.flatnonzero(hub != ends)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[linked]), pa.array(hub[linked])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # whole batches of a group that goes on
@@ -243,46 +230,27 @@ def fingerprint_links(nodes: DataFrame, radius: int, blocks: int, check_radius:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicate_groups(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, blocks: int = 6, tables: int = 1, check_shingle: int | None = None, check_radius: int = 0
-) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, blocks: int = 6) -> DataFrame:
     """One row a document: (doc_id, version, fp, root, component_id), the last the smallest doc_id reachable over links.
 
-    Fingerprints link at radius differing bits or fewer, in any of `tables` independent fingerprints; with check_shingle, a further
-    fingerprint with that shingle length must also be within check_radius. Words are runs without ASCII white
+    Fingerprints link at radius differing bits or fewer. Words are runs without ASCII white
     space, A-Z lower-cased. Null and empty texts have fingerprint 0 and link like any other. version is a hash of the text, root
     names the group whatever its ids. A null doc_id is never the smallest; a group of nulls alone has a null component_id. Repeated rows stay
     and share a group; ties cannot arise as groups are sets. An empty table gives an empty one. Only the
     named columns are read, so others may have any name.
     """
-    prints = {"fp" if s == 0 else f"fp{s}": (shingle, s) for s in range(tables)}
-    wanted = prints | ({"check": (check_shingle, 0)} if check_shingle else {})
     narrow = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("version"), F.col(f"`{text}`").alias("text"))
-    kept = with_fingerprints(narrow, ["doc_id", "version"], "text", wanted)
-    kept = kept.withColumn("node", F.xxhash64(*wanted) if len(wanted) > 1 else F.col("fp"))
-    kept = cut_lineage(kept)
-    nodes = kept.groupBy("node", *wanted).agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    checked = ["check"] if check_shingle else []
-    links = [fingerprint_links(nodes.select("node", F.col(p).alias("fp"), *checked), radius, blocks, check_radius if check_shingle else None) for p in prints]
-    roots = connected_components(reduce(DataFrame.union, links))
+    kept = cut_lineage(with_fingerprints(narrow, ["doc_id", "version"], "text", shingle))
+    nodes = kept.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).withColumn("node", F.col("fp"))
+    roots = connected_components(fingerprint_links(nodes.select("node", "fp"), radius, blocks))
     linked = nodes.select("node", "low").join(roots, "node")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component"))
     named = nodes.select("node", "low", "n").join(roots.join(lowest, "root"), "node", "left")
     alone = F.col("root").isNull()
     named = named.select("node", "n", F.when(alone, F.col("node")).otherwise(F.col("root")).alias("root"), F.when(alone, F.col("low")).otherwise(F.col("component")).alias("component_id"))
-    found = _join_names(kept.select("doc_id", "version", "fp", "node"), named)
+    found = join_names(kept.select("doc_id", "version", "fp", F.col("fp").alias("node")), named, "node")
     return found.select(F.col("doc_id").alias(doc_id), "version", "fp", "root", "component_id")
 
 
-def _join_names(kept: DataFrame, named: DataFrame) -> DataFrame:
-    """kept with its node's names. Nodes with a HOT_SHARE of all rows or more, so 1 / HOT_SHARE at most, are broadcast; the others' rows are shuffled."""
-    named = cut_lineage(named)
-    hot = F.col("n") >= max(kept.count() * HOT_SHARE, 2)
-    many = F.broadcast(named.filter(hot).drop("n").withColumn("hot", F.lit(True)))
-    split = kept.join(many, "node", "left")
-    rest = split.filter("hot is null").drop("root", "component_id", "hot").join(named.filter(~hot).drop("n"), "node")
-    return split.filter("hot").drop("hot").unionByName(rest)
-
-
 def fingerprint_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

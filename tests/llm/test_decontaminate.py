@@ -57,3 +57,14 @@ def test_sketches_lose_nothing(spark):
     for r in got:
         most_lacking = r["size"] - -(-8 * r["size"] // 10)
         assert r.k >= min(r["size"], most_lacking + 1)
+
+
+def test_a_text_of_many_items_makes_no_pairs_of_all(spark):
+    """200 items in one text: hits meet the items of their own shingle only."""
+    rng = __import__("random").Random(2)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(t for _, t in items))], "doc_id long, text string")
+    found = decontaminate.contained_items(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert found.count() == 200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
