@@ -36,10 +36,11 @@ def runs(texts: DataFrame, keys: list[str], text: str, lengths: list[int]) -> Da
     Positions, not texts, are what is exploded, and nothing on the way is a lambda, so that it all runs in generated code and w is
     never copied to a run's row as long as only h goes on. The split leaves an empty string before or after the words at most.
     """
-    w = texts.select(*keys, F.split(F.lower(F.col(text)), _BETWEEN).alias("w")).filter("w is not null")
+    w = texts.select(*keys, F.split(F.lower(F.col(text)), _BETWEEN).alias("w"))
     w = w.withColumn("lead", (F.get("w", F.lit(0)) == "").cast("int")).withColumn("end", F.size("w") - (F.get("w", F.size("w") - 1) == "").cast("int"))
     last = F.col("end") - min(lengths)
-    placed = w.filter(last >= F.col("lead")).select(*keys, "w", "end", F.explode(F.sequence(F.col("lead"), last)).alias("i"))
+    # a filter here would be moved down and split the text again
+    placed = w.select(*keys, "w", "end", F.explode(F.when(last >= F.col("lead"), F.sequence(F.col("lead"), last))).alias("i"))
     if len(lengths) == 1:
         return placed.select(*keys, "w", "i", F.lit(lengths[0]).alias("n"), _hash(F.col("w"), F.col("i"), lengths[0]).alias("h"))
     each = F.array(*(F.when(F.col("i") + n <= F.col("end"), F.struct(F.lit(n).alias("n"), _hash(F.col("w"), F.col("i"), n).alias("h"))) for n in lengths))
