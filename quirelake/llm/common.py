@@ -57,6 +57,12 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
+def refuse_clash(keys: list[str], made: list[str]) -> None:
+    """ValueError if a key column has the name of a column that comes out beside it."""
+    if clash := set(keys) & set(made):
+        raise ValueError(f"key columns {sorted(clash)} clash with the result's")
+
+
 def with_text(df: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, Callable]:
     """The key columns, the text after them unless it is one of them or a field of one (key.field), and what takes it from a batch."""
     columns = [F.col(f"`{k}`") for k in keys]
@@ -68,7 +74,7 @@ def with_text(df: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, Cal
     return df.select(*columns, F.col(f"`{text}`").alias("__text")), lambda batch, at=len(keys): batch.column(at)
 
 
-def join_names(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+def join_names(rows: DataFrame, named: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """rows with the other columns of named, joined by key, which is unique in named and never null; named.n is how many rows have the key.
 
     Keys with a HOT_SHARE of all rows or more are broadcast, so that their rows stay where they are; the others' rows are shuffled.
@@ -78,5 +84,5 @@ def join_names(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
     told = [c for c in named.columns if c not in (key, "n")]
     many = F.broadcast(named.filter(hot).drop("n").withColumn("__hot", F.lit(True)))
     split = rows.join(many, key, "left")
-    rest = split.filter("__hot is null").drop(*told, "__hot").join(named.filter(~hot).drop("n"), key)
+    rest = split.filter("__hot is null").drop(*told, "__hot").join(named.filter(~hot).drop("n"), key, how)
     return split.filter("__hot").drop("__hot").unionByName(rest)

@@ -1,4 +1,8 @@
-"""Quality classifier by co-training on two views of a document, its words and its metadata."""
+"""Quality classifier by co-training on two views of a document, its words and its metadata.
+
+Both views learn from a bounded sample of labelled rows. In each round both score all rows without a label where these lie;
+of all that a view is sure of, the surest, a bounded number, become pseudo-labels for the other.
+"""
 
 from __future__ import annotations
 
@@ -13,30 +17,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm.linear import Ftrl, WordHasher, gram_features, platt, sigmoid
-from quirelake.llm.sampling import bounded_sample
+from quirelake.llm.common import cut_lineage, refuse_clash
+from quirelake.llm.sampling import bounded_sample, sampled
 
 BITS = 18
 META_BITS = 14
-#: Rows, labelled and not, that the views are fitted on at most.
+#: Labelled rows that the views are fitted on at most, and what they may take of features, rows in the order of their hash.
 MAX_LABELLED = 8_000
-MAX_POOL = 8_000
+MAX_FEATURES = 40_000_000
+#: Rounds of exchange; the share of all rows without a label, and how many at most, that a view gives pseudo-labels in a round, the surest; how sure it must be.
+ROUNDS, SHARE, MAX_GIVEN, SURE = 2, 0.08, 1_000, 0.9
 #: Words with what is attached to them: marks and case tell quality.
 _PIECE = re.compile(r"\w+|[^\w\s]+")
 
 
-def _shape(pieces: list[str]) -> list[str]:
+class PieceHasher(WordHasher):
+    """Hashes whose lowest bit tells upper case and whose next one tells marks."""
+
+    def __init__(self) -> None:
+        super().__init__(_PIECE)
+
+    def code(self, word: str) -> int:
+        return (xxhash.xxh64_intdigest(word) & ~3) | word.isupper() | (not word.isalnum()) << 1
+
+
+def _shape(h: np.ndarray) -> list[str]:
     """Coarse classes of a text's pieces, so that unseen words still say something."""
-    n = max(1, len(pieces))
-    upper, marks = sum(map(str.isupper, pieces)), len(pieces) - sum(map(str.isalnum, pieces))
-    return [f"upper {10 * upper // n}", f"marks {10 * marks // n}", f"distinct {10 * len(set(pieces)) // n}"]
+    n = max(1, len(h))
+    upper, marks = int((h & np.uint64(1)).sum()), int((h >> np.uint64(1) & np.uint64(1)).sum())
+    return [f"upper {10 * upper // n}", f"marks {10 * marks // n}", f"distinct {10 * len(np.unique(h)) // n}"]
 
 
-def text_view(text: str | None, hasher: WordHasher, kept: np.ndarray | None = None) -> np.ndarray:
+def text_view(text: str | None, hasher: PieceHasher, kept: np.ndarray | None = None) -> np.ndarray:
     """Distinct indices of pieces, of pairs of neighbours and of the shape; with kept, of those that it marks only."""
-    pieces = hasher.words(text or "")
-    own = np.array([xxhash.xxh64_intdigest(s) >> (64 - BITS) for s in _shape(pieces)], np.int32)
-    if pieces:
-        own = np.append(gram_features(hasher.hashes(pieces), BITS, grams=2, skips=0), own)
+    h = hasher(text or "")
+    own = np.array([xxhash.xxh64_intdigest(s) >> (64 - BITS) for s in _shape(h)], np.int32)
+    if len(h):
+        own = np.append(gram_features(h, BITS, grams=2, skips=0), own)
     return np.unique(own if kept is None else own[kept[own]])
 
 
@@ -64,70 +81,39 @@ class Views:
     exchanged: tuple[int, ...]
 
 
-def co_train(views: list[list[np.ndarray]], label: np.ndarray, rounds: int = 4, share: float = 0.04, sure: float = 0.9) -> tuple[list[Ftrl], list[tuple[float, float]], list[int]]:
-    """Models of two views, their calibrations and the pseudo-labels given in each round.
+def learn(views: list[list[np.ndarray]], label: np.ndarray, given: list[np.ndarray]) -> tuple[list[Ftrl], list[tuple[float, float]]]:
+    """Models of two views and their calibrations.
 
-    label: 1, 0 or -1 for a row without. A fourth of the labelled rows calibrates the views and is never learned. In each
-    round each view, calibrated, names the rows without a label that it is surest of (`sure` or beyond, up to
-    `share` of the pool, classes in their labelled proportion) and the other view learns them at half weight.
+    label: 1, 0 or -1 for a row without. A fourth of the labelled rows calibrates the views and is never learned. given[k]: pseudo-labels
+    that view k learns at half weight, -1 where it has none.
     """
     known = np.flatnonzero(label >= 0)
     fold = known[np.arange(len(known)) % 4 == 3]
     train = np.setdiff1d(known, fold)
-    pool = np.flatnonzero(label < 0)
-    given: list[dict[int, float]] = [{}, {}]
-    sizes = (1 << BITS, 1 << META_BITS)
-    rate = float(label[known].mean()) if len(known) else 0.5
-
-    def fit(k: int) -> tuple[Ftrl, tuple[float, float]]:
-        model = Ftrl(sizes[k], alpha=0.2, l1=(2.0, 0.5)[k])
-        rows = [(i, float(label[i]), 1.0) for i in train.tolist()] + [(i, y, 0.5) for i, y in sorted(given[k].items())]
+    models, calibrations = [], []
+    for k, size in enumerate((1 << BITS, 1 << META_BITS)):
+        model = Ftrl(size, alpha=0.2, l1=(2.0, 0.5)[k])
+        rows = [(i, float(label[i]), 1.0) for i in train.tolist()] + [(i, float(given[k][i]), 0.5) for i in np.flatnonzero(given[k] >= 0).tolist()]
         order = np.random.default_rng(9)
         for _ in range(3):
             for j in order.permutation(len(rows)).tolist():
                 i, y, w = rows[j]
                 model.learn(views[k][i], y, w)
         margin = np.array([model.margin(views[k][i]) for i in fold])
-        return model, platt(margin, label[fold].astype(float)) if len(fold) else (1.0, 0.0)
+        models.append(model)
+        calibrations.append(platt(margin, label[fold].astype(float)) if len(fold) else (1.0, 0.0))
+    return models, calibrations
 
-    fitted = [fit(0), fit(1)]
-    told = []
-    for _ in range(rounds if len(pool) and len(known) else 0):
-        told.append(0)
-        for k in (0, 1):
-            model, (a, b) = fitted[k]
-            rest = np.array([i for i in pool.tolist() if i not in given[1 - k]], int)
-            if not len(rest):
-                continue
-            p = sigmoid(a * np.array([model.margin(views[k][i]) for i in rest]) + b)
-            order = np.argsort(p, kind="stable")
-            take = max(1, int(share * len(pool)))
-            high = [i for i in order[::-1][: int(np.ceil(take * rate))] if p[i] >= sure]
-            low = [i for i in order[: int(np.ceil(take * (1 - rate)))] if p[i] <= 1 - sure]
-            given[1 - k] |= {int(rest[i]): 1.0 for i in high} | {int(rest[i]): 0.0 for i in low}
-            told[-1] += len(high) + len(low)
-        if not told[-1]:
-            break
-        fitted = [fit(0), fit(1)]
-    return [m for m, _ in fitted], [c for _, c in fitted], told
 
+def _featurised(rows: DataFrame) -> DataFrame:
+    """(key, y, a, b): both views' features of (key, y, source, lang, text), each key once a task."""
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Views | None:
-    """Both views fitted on bounded samples by a hash of the id; None without labels. Needs text, source and lang.
-
-    Of several labels of an id the lowest counts; null ids and labels teach nothing. Rows become features where they lie; one
-    task trains on the features, ordered by a hash of id and text.
-    """
-    marked = labels.select(F.col(f"`{doc_id}`").alias("id"), (F.col(f"`{label}`") > 0).cast("int").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
-    marked = F.broadcast(bounded_sample(marked, F.col("id"), max_labelled, 19))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), "source", "lang", "text")
-    pool = bounded_sample(rows.select("id"), F.col("id"), max_pool, 23).distinct().withColumn("pooled", F.lit(True))
-    rows = rows.join(marked, "id", "left").join(F.broadcast(pool), "id", "left").filter("y is not null or pooled")
-    rows = rows.select(F.xxhash64("id", "text").alias("key"), F.coalesce("y", F.lit(-1)).alias("y"), "source", "lang", "text")
-
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(_PIECE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = PieceHasher()
+        seen: set[int] = set()  # of bounded samples
         for batch in batches:
+            fresh = [i for i, k in enumerate(batch.column("key").to_pylist()) if k not in seen and not seen.add(k)]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             said, meta = [], []
             for s, lang, t in zip(*(batch.column(c) for c in ("source", "lang", "text")), strict=True):
                 t = t.as_py()
@@ -136,34 +122,89 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str =
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), pa.array(said, kind), pa.array(meta, kind)], names=["key", "y", "a", "b"])
 
+    return rows.select("key", "y", "source", "lang", "text").mapInArrow(run, "key long, y int, a array<int>, b array<int>")
+
+
+def _trained(rows: DataFrame, given: list[dict[int, int]], told: list[int]) -> Views | None:
+    """Views learned by one task from the features of bounded samples, in the order of their keys; None without labels."""
+
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         views: list[list[np.ndarray]] = [[], []]
         y: list[int] = []
+        keys: list[int] = []
+        held, last = 0, None
         for batch in batches:
-            y.extend(batch.column("y").to_pylist())
-            for k, c in enumerate("ab"):
-                views[k].extend(x.values.to_numpy() for x in batch.column(c))
+            for key, label, a, b in zip(batch.column("key").to_pylist(), batch.column("y").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
+                if key != last and held < MAX_FEATURES:
+                    keys.append(key)
+                    y.append(label)
+                    views[0].append(a.values.to_numpy())
+                    views[1].append(b.values.to_numpy())
+                    held += len(views[0][-1])
+                last = key
         label = np.array(y, int)
         if not (label >= 0).any():
             return
-        models, calibration, told = co_train(views, label)
+        models, calibration = learn(views, label, [np.array([g.get(k, -1) if n < 0 else -1 for k, n in zip(keys, y, strict=True)], int) for g in given])
         rate = float(np.clip(label[label >= 0].mean(), 1e-3, 1 - 1e-3))
         for k, m in enumerate(models):
             w = m.weights()
             kept = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept) + 1, k)), pa.array(np.append(kept, -1)), pa.array(np.append(w[kept], m.bias()))], names=["k", "at", "w"])
-        rest = [*calibration[0], *calibration[1], float(np.log(rate / (1 - rate))), *map(float, told)]
+        rest = [*calibration[0], *calibration[1], float(np.log(rate / (1 - rate)))]
         yield pa.RecordBatch.from_arrays([pa.array([2] * len(rest)), pa.array(range(len(rest)), pa.int64()), pa.array(rest)], names=["k", "at", "w"])
 
-    made = rows.mapInArrow(featurise, "key long, y int, a array<int>, b array<int>").repartition(1).sortWithinPartitions("key").mapInArrow(train, "k long, at long, w double").toPandas()
+    made = rows.repartition(1).sortWithinPartitions("key").mapInArrow(train, "k long, at long, w double").toPandas()
     if made.empty:
         return None
     parts = []
     for k in (0, 1):
         own = made[(made.k == k) & (made["at"] >= 0)]
         parts += [own["at"].to_numpy().astype(np.int32), own.w.to_numpy().astype(np.float32), float(made[(made.k == k) & (made["at"] < 0)].w.iloc[0])]
-    rest = made[made.k == 2].sort_values("at").w.tolist()
-    return Views(*parts, tuple(rest[:5]), tuple(int(x) for x in rest[5:]))
+    return Views(*parts, tuple(made[made.k == 2].sort_values("at").w.tolist()), tuple(told))
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, max_given: int = MAX_GIVEN, sure: float = SURE
+) -> Views | None:
+    """Both views, after rounds of exchange; None without labels. Needs text, source and lang.
+
+    Of several labels of an id the lowest counts; null ids and labels teach nothing. Distinct labelled rows above max_labelled are sampled by a
+    hash of id and text. In each round all rows without a label are scored, copies as one, and of those that a view gives
+    `sure` or more, or 1 - sure or less, the surest SHARE of all, max_given at most, classes in their labelled proportion, teach the other view.
+    """
+    marked = labels.select(F.col(f"`{doc_id}`").alias("id"), (F.col(f"`{label}`") > 0).cast("int").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
+    marked = F.broadcast(cut_lineage(bounded_sample(marked, F.col("id"), max_labelled, 19)))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), "source", "lang", "text")
+    known = sampled(rows.join(marked, "id").withColumn("key", F.xxhash64("id", "text")), max_labelled, 20)
+    features = cut_lineage(_featurised(known))
+    model = _trained(features, [{}, {}], [])
+    if model is None:
+        return None
+    rest = rows.join(marked, "id", "left_anti").withColumn("key", F.xxhash64("text", "source", "lang"))
+    rate = float(1 / (1 + np.exp(-model.calibration[4])))
+    given: list[dict[int, int]] = [{}, {}]
+    told: list[int] = []
+    for _ in range(rounds):
+        scored = score(rest, model, ["key"]).groupBy("key").agg(F.max("text_score").alias("p0"), F.max("meta_score").alias("p1"))
+        scored = cut_lineage(scored)
+        take = min(max_given, max(1, int(SHARE * scored.count())))
+        new = 0
+        for k in (0, 1):
+            mine = F.col(f"p{k}")
+            had = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in sorted(given[1 - k])], "key long"))
+            left = scored.join(had, "key", "left_anti")
+            high = left.filter(mine >= sure).orderBy(mine.desc(), "key").limit(int(np.ceil(take * rate))).collect()
+            low = left.filter(mine <= 1 - sure).orderBy(mine, "key").limit(int(np.ceil(take * (1 - rate)))).collect()
+            given[1 - k] |= {r["key"]: 1 for r in high} | {r["key"]: 0 for r in low}
+            new += len(high) + len(low)
+        told.append(new)
+        if not new:
+            break
+        chosen = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in sorted({*given[0], *given[1]})], "key long"))
+        taught = _featurised(rest.join(chosen, "key", "left_semi").withColumn("y", F.lit(-1)))
+        model = _trained(features.unionByName(taught), given, told)
+    return Views(model.text_at, model.text_w, model.text_bias, model.meta_at, model.meta_w, model.meta_bias, model.calibration, tuple(told))
 
 
 def score(docs: DataFrame, model: Views | None, keys: list[str]) -> DataFrame:
@@ -171,7 +212,9 @@ def score(docs: DataFrame, model: Views | None, keys: list[str]) -> DataFrame:
 
     Both log-odds are added and the prior's, which both hold, taken off once. Whole texts are read; null and empty texts, null
     sources and languages are values like others. Without a model all scores are 0.5. Repeated rows stay; an empty table gives an empty one.
+    A key with the name of a column that comes out is refused with a ValueError; other columns may have any name.
     """
+    refuse_clash(keys, ["text_score", "meta_score", "score"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(*[F.col(f"`{k}`") for k in keys], F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("text").alias("__text"))
 
@@ -182,7 +225,7 @@ def score(docs: DataFrame, model: Views | None, keys: list[str]) -> DataFrame:
             text_w, meta_w = np.zeros(1 << BITS, np.float32), np.zeros(1 << META_BITS, np.float32)
             text_w[m.text_at], meta_w[m.meta_at] = m.text_w, m.meta_w
             kept = text_w != 0
-        hasher = WordHasher(_PIECE)
+        hasher = PieceHasher()
         for batch in batches:
             a, b = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             prior = 0.0

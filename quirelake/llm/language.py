@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.sampling import bounded_sample
+from quirelake.llm.common import refuse_clash
+from quirelake.llm.sampling import sampled
 
 BITS = 13
 #: Documents that centroids are fitted on at most.
@@ -84,15 +85,16 @@ def cluster(x: np.ndarray, clusters: int, rounds: int = 12, seed: int = 3) -> np
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", clusters: int = 4, max_train: int = MAX_TRAIN) -> Centroids | None:
-    """Centroids from whole texts with a language; None if there are none. Rows above max_train are sampled by a hash of the key."""
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).filter("lang is not null")
-    rows = bounded_sample(rows, F.col("key"), max_train, 13).select(F.xxhash64("key", "text").alias("key"), "lang", "text")
+    """Centroids from whole texts with a language; None if there are none. Distinct rows above max_train are sampled by a hash of key and text; a row that repeats is one."""
+    rows = docs.select(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("key"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).filter("lang is not null")
+    rows = sampled(rows, max_train, 13)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of the sampled keys, so bounded
         for batch in batches:
             key, names, at, n = [], [], [], []
             for k, name, t in zip(batch.column("key").to_pylist(), batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                if (c := gram_counts(t.as_py())) is not None:
+                if k not in seen and not seen.add(k) and (c := gram_counts(t.as_py())) is not None:
                     key.append(k)
                     names.append(name)
                     at.append(np.flatnonzero(c).astype(np.int32))
@@ -102,11 +104,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             )
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, at, n = [], [], []
+        names, at, n, last = [], [], [], None
         for batch in batches:
-            names.extend(batch.column("lang").to_pylist())
-            at.extend(x.values.to_numpy() for x in batch.column("at"))
-            n.extend(x.values.to_numpy() for x in batch.column("n"))
+            for key, name, x, y in zip(batch.column("key").to_pylist(), batch.column("lang").to_pylist(), batch.column("at"), batch.column("n"), strict=True):
+                if key != last:
+                    names.append(name)
+                    at.append(x.values.to_numpy())
+                    n.append(y.values.to_numpy())
+                last = key
         if not names:
             return
         df = np.bincount(np.concatenate(at), minlength=1 << BITS)
@@ -138,8 +143,10 @@ def identify(docs: DataFrame, model: Centroids | None, keys: list[str], text: st
     """The key columns, lang_pred, score (cosine to the nearest centroid, 0 to 1) and far (beyond that centroid's reach).
 
     Whole texts are read. Null texts, texts without a letter and, without a model, all are `unknown` with score 0; with reject, far ones
-    are unknown as well. Repeated rows stay; an empty table gives an empty one.
+    are unknown as well. Repeated rows stay; an empty table gives an empty one. A key with the name of a column that comes out is
+    refused with a ValueError; other columns may have any name.
     """
+    refuse_clash(keys, ["lang_pred", "score", "far"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("__text"))
 

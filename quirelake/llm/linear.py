@@ -31,9 +31,12 @@ class WordHasher:
         if None in got:
             for i, h in enumerate(got):
                 if h is None:
-                    got[i] = known[words[i]] = xxhash.xxh64_intdigest(words[i])
+                    got[i] = known[words[i]] = self.code(words[i])
         return np.array(got, np.uint64)
 
+    def code(self, word: str) -> int:
+        return xxhash.xxh64_intdigest(word)
+
 
 def gram_features(h: np.ndarray, bits: int, grams: int = 2, skips: int = 2) -> np.ndarray:
     """Hashed indices of words, of runs of 2 to `grams` words and of pairs with 1 to `skips` words between; with repeats."""

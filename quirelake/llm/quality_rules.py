@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import with_text
-from quirelake.llm.sampling import bounded_sample
+from quirelake.llm.common import refuse_clash, with_text
+from quirelake.llm.sampling import labelled
 
 #: Labelled rows that rules are learned from at most; their statistics, not their texts, go to the driver.
 MAX_TRAIN = 20_000
@@ -57,7 +57,11 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 
 
 def with_counts(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """The key columns and COUNTS."""
+    """The key columns and COUNTS of each whole text; null counts as empty, repeated rows stay, an empty table gives an empty one.
+
+    A key with the name of a count is refused with a ValueError; other columns may have any name.
+    """
+    refuse_clash(keys, list(COUNTS))
     narrow, texts = with_text(df, keys, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +198,10 @@ def keeps(rules: list[Rule]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> list[Rule]:
     """Rules from the labelled rows that pass the base rules. Of several labels of an id the lowest counts; null ids and labels teach nothing.
 
-    Labelled rows above max_train are sampled by a hash of the id; their statistics are gathered by the driver.
+    Distinct labelled rows above max_train are sampled by a hash of id and text, a row that repeats is one; their statistics are gathered by the driver.
     """
     marked = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
-    marked = bounded_sample(marked, F.col("id"), max_train, 17)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(marked), "id")
     stats = statistics()
-    rows = with_counts(rows, ["id", "y"]).filter(~base_failed())
-    rows = rows.select(F.xxhash64("id", *COUNTS).alias("key"), "y", *[c.alias(n) for n, c in stats.items()]).toPandas().sort_values("key")
+    rows = with_counts(labelled(docs, marked, doc_id, text, max_train, 17), ["key", "y"]).filter(~base_failed())
+    rows = rows.select("key", "y", *[c.alias(n) for n, c in stats.items()]).dropDuplicates(["key"]).toPandas().sort_values("key")
     return learn_rules({n: rows[n].to_numpy() for n in stats}, (rows["y"] <= 0).to_numpy())

@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import with_text
+from quirelake.llm.common import refuse_clash, with_text
 from quirelake.llm.linear import Ftrl, WordHasher, gram_features, sigmoid
-from quirelake.llm.sampling import bounded_sample
+from quirelake.llm.sampling import labelled
 
 BITS = 20
 #: Labelled rows that a model is fitted on at most; a label's sample is broadcast, so this bounds that too.
 MAX_TRAIN = 16_000
+#: Features of all those rows together on which it is fitted at most; rows in the order of their hash.
+MAX_FEATURES = 60_000_000
 #: Bias of a model without labelled rows: nothing is toxic.
 NO_LABELS = -20.0
 
@@ -28,26 +30,31 @@ def _features(text: str | None, hasher: WordHasher) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN, epochs: int = 5, min_rows: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """(indices, weights, bias) of the coordinates that L1 left, from the whole texts of the documents in labels.
 
-    Of several labels of an id the highest counts; null ids and labels teach nothing. Labelled rows above
-    max_train are sampled by a hash of the id. Features of fewer than min_rows of them are left out. Rows are featurised where they lie; one task
+    Of several labels of an id the highest counts; null ids and labels teach nothing. Distinct labelled rows above
+    max_train are sampled by a hash of id and text; a row that repeats is one. Features of fewer than min_rows of them are left out. Rows are featurised where they lie; one task
     fits on their indices, in the order of a hash of id and text, so that reruns agree.
     """
     marked = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
-    marked = bounded_sample(marked, F.col("id"), max_train, 11)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(marked), "id")
-    rows = rows.select(F.xxhash64("id", "text").alias("key"), "y", "text")
+    rows = labelled(docs, marked, doc_id, text, max_train, 11)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
+        seen: set[int] = set()  # of the sampled keys, so bounded
         for batch in batches:
+            fresh = [i for i, k in enumerate(batch.column("key").to_pylist()) if k not in seen and not seen.add(k)]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             found = pa.array([np.unique(_features(t.as_py(), hasher)) for t in batch.column("text")], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), found], names=["key", "y", "at"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, y = [], []
+        at, y, held, last = [], [], 0, None
         for batch in batches:
-            y.extend(batch.column("y").to_pylist())
-            at.extend(x.values.to_numpy() for x in batch.column("at"))
+            for key, label, x in zip(batch.column("key").to_pylist(), batch.column("y").to_pylist(), batch.column("at"), strict=True):
+                if key != last and held < MAX_FEATURES:
+                    y.append(label)
+                    at.append(x.values.to_numpy())
+                    held += len(at[-1])
+                last = key
         if not y:
             return
         rows_with = np.bincount(np.concatenate([*at, np.empty(0, np.int32)]), minlength=1 << BITS)
@@ -72,8 +79,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keys: list[str], text: str = "text") -> DataFrame:
     """The key columns and score, 0 to 1, of each whole text: a feature counts once however often it occurs.
 
-    Null and empty texts score what the bias says. Repeated rows stay; an empty table gives an empty one.
+    Null and empty texts score what the bias says. Repeated rows stay; an empty table gives an empty one. A key named score is
+    refused with a ValueError; other columns may have any name.
     """
+    refuse_clash(keys, ["score"])
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.int32), model[1].astype(np.float32), model[2]))
     narrow, texts = with_text(docs, keys, text)
 

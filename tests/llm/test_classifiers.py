@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quirelake.llm import cotraining, language, linear, quality_rules, queries, toxicity
+from quirelake.llm import cotraining, language, linear, quality_rules, queries, sampling, toxicity
 from quirelake.llm.common import held_out, unit_hash
 
 SF01 = "/root/testdata/sf0.1"
@@ -66,18 +66,63 @@ def test_co_training_held_out(spark, larger):
     assert abs(got.score.mean() - got.quality.mean()) < 0.08
 
 
-def test_co_training_uses_the_pool():
+def test_views_learn_from_each_other():
     """A view that starts with few labels learns from what the other is sure of."""
     rng = np.random.default_rng(0)
     truth = rng.integers(0, 2, 600)
     a = [np.array([10 + t, *(100 + rng.integers(0, 50, 3))], np.int32) for t in truth]
     b = [np.unique(np.array([20 + 2 * rng.integers(0, 40) + t], np.int32)) for t in truth]
     label = np.where(np.arange(600) < 40, truth, -1)
-    models, _, told = cotraining.co_train([a, b], label, rounds=6, share=0.2, sure=0.7)
-    alone, _, _ = cotraining.co_train([a, b], label, rounds=0)
+    none = np.full(600, -1)
+    models, ((slope, offset), _) = cotraining.learn([a, b], label, [none, none])
+    p = linear.sigmoid(slope * np.array([models[0].margin(x) for x in a]) + offset)
+    told = np.where((label < 0) & (np.abs(p - 0.5) > 0.2), p > 0.5, -1).astype(int)
+    taught, _ = cotraining.learn([a, b], label, [none, told])
     right = lambda m: np.mean([(m.margin(x) > 0) == (t == 1) for x, t in zip(b, truth, strict=True)])
-    assert sum(told) > 100
-    assert right(models[1]) > right(alone[1]) + 0.1
+    assert (told >= 0).sum() > 100
+    assert right(taught[1]) > right(models[1]) + 0.1
+
+
+def test_pseudo_labels_come_from_all_rows(spark, larger):
+    """With a bound of 50 labels the surest of thousands of rows teach; all fit the plain scorer on whole texts."""
+    docs, labels = larger
+    model = cotraining.fit(docs, labels.filter(~held_out(F.col("doc_id"))), max_labelled=500, max_given=50)
+    assert len(model.exchanged) <= cotraining.ROUNDS and 0 < model.exchanged[0] <= 104
+    hasher = cotraining.PieceHasher()
+    text_w, meta_w = dict(zip(model.text_at.tolist(), model.text_w.tolist(), strict=True)), dict(zip(model.meta_at.tolist(), model.meta_w.tolist(), strict=True))
+    got = {r.doc_id: r for r in cotraining.score(docs, model, ["doc_id"]).collect()}
+    c = model.calibration
+    for r in docs.limit(40).collect():
+        a = c[0] * (model.text_bias + sum(text_w.get(i, 0) for i in set(cotraining.text_view(r.text, hasher).tolist()))) + c[1]
+        b = c[2] * (model.meta_bias + sum(meta_w.get(i, 0) for i in set(cotraining.meta_view(r.source, r.lang, r.text).tolist()))) + c[3]
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-np.clip(a + b - c[4], -35, 35)))) < 1e-5
+
+
+def test_toxicity_is_the_plain_sum(spark, sf):
+    """Scores of whole texts against a plain reading of the n-grams and skip-grams that the model kept."""
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    at, w, bias = toxicity.fit(docs, labels)
+    weight = dict(zip(at.tolist(), w.astype(np.float32).tolist(), strict=True))
+    odd, top = linear._ODD, (1 << 64) - 1
+    for r in toxicity.score(docs, (at, w, bias), ["doc_id", "text"]).limit(40).collect():
+        h = [linear.xxhash.xxh64_intdigest(x) for x in re.findall(r"[^\W_]+", (r.text or "").lower())]
+        shift = 64 - toxicity.BITS
+        found = {(x * odd[0] & top) >> shift for x in h}
+        found |= {((x * odd[1] + y) * (odd[0] ^ 2) & top) >> shift for x, y in zip(h, h[1:], strict=False)}
+        for gap in (1, 2):
+            found |= {((x * odd[2] + y * (odd[3] ^ gap << 8)) * odd[0] & top) >> shift for x, y in zip(h, h[gap + 1 :], strict=False)}
+        total = bias + sum(weight.get(i, 0.0) for i in found)
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(total, -35, 35)))) < 1e-5
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """Null and repeated ids, and repeated rows, add nothing over the bound."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(400)] + [(2, "same")] * 300, "doc_id long, text string")
+    marked = spark.createDataFrame([(1, 1), (2, 0)], "id long, y int")
+    got = sampling.labelled(docs, marked, "doc_id", "text", 100, 5)
+    assert 40 < got.select("key").distinct().count() <= 110
+    nulls = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit("en").alias("lang"))
+    assert language.fit(nulls, max_train=50) is not None
 
 
 def test_ftrl_is_sparse_and_learns():
