@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.common import cut_lineage, refuse_clash
+
 #: Bytes of an index up to which it is broadcast.
 MAX_BYTES = 256 << 20
 
@@ -120,14 +122,14 @@ class Prober:
                     break
         return found.tolist()
 
-    def judge(self, hosts: list[str], paths: list[str]) -> list[tuple[str, str] | None]:
-        """(rule, verdict) of each URL's longest fitting rule; the longer host of two rules equally long."""
+    def judge(self, hosts: list[str], paths: list[str], suffixes: bool = True) -> list[tuple[str, str] | None]:
+        """(rule, verdict) of each URL's longest fitting rule, of its host alone without suffixes; the longer host of two rules equally long."""
         ends, owner = [], []
         for i, host in enumerate(hosts):
             while host:
                 ends.append(host)
                 owner.append(i)
-                host = host.partition(".")[2]
+                host = host.partition(".")[2] if suffixes else ""
         keys, whose = [], []
         for end, i, lengths in zip(ends, owner, self.path_lengths(ends), strict=True):
             path = paths[i]
@@ -162,13 +164,12 @@ def filter_urls(df: DataFrame, rules: list[Rule], keys: list[str], url: str = "u
     A rule fits its host and that host's subdomains where the path starts with the rule's; the longest
     rule wins. Without one, rule is null and the verdict is default. Null URLs and such without "://" have empty host and path and
     fit no rule. Repeated rows stay. An empty table gives an empty one; other columns are not read, and
-    keys may have any names but the four that come out (else ValueError). The index is broadcast: ValueError above max_bytes.
+    keys may have any names but the four that come out (else ValueError). The index is broadcast up to max_bytes; larger ones are dealt out by digest (_shuffled), with the same result.
     """
-    if clash := {"host", "path", "rule", "verdict"} & set(keys):
-        raise ValueError(f"key columns {sorted(clash)} clash with the result's")
+    refuse_clash(keys, ["host", "path", "rule", "verdict"])
     index = build_index(rules)
     if index.size > max_bytes:
-        raise ValueError(f"an index of {index.size} bytes is over the {max_bytes} that may be broadcast; split the rules by host")
+        return _shuffled(df, rules, keys, url, default, max(2, -(-index.size // max_bytes)))
     shared = df.sparkSession.sparkContext.broadcast(index)
     host, path = host_and_path(F.col(f"`{url}`"))
     narrow = df.select(*[F.col(f"`{k}`") for k in keys], host.alias("host"), path.alias("path"))
@@ -185,6 +186,48 @@ def filter_urls(df: DataFrame, rules: list[Rule], keys: list[str], url: str = "u
     return narrow.mapInArrow(run, f"{kinds}, host string, path string, rule string, verdict string")
 
 
+def _shuffled(df: DataFrame, rules: list[Rule], keys: list[str], url: str, default: str, shards: int) -> DataFrame:
+    """filter_urls for rules over the bound of a broadcast: rules and hosts' suffixes are dealt to shards by the suffix's digest.
+
+    Each shard's rules make a sorted digest array of their own, broadcast by itself and probed in a pass over the URLs' suffixes
+    of that shard, so that no worker holds more than one. A URL's best rule is the longest that any shard found.
+    """
+    host, path = host_and_path(F.col(f"`{url}`"))
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], host.alias("host"), path.alias("path")).withColumn("__row", F.monotonically_increasing_id())
+    rows = cut_lineage(rows)
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    probes = rows.filter("host <> ''").select("__row", "path", F.explode(ends).alias("end")).filter("end <> ''").withColumn("shard", F.pmod(F.xxhash64("end"), F.lit(shards)).cast("int"))
+    probes = cut_lineage(probes)
+    names = sorted({r.host for r in rules})
+    spark = df.sparkSession
+    dealt = spark.createDataFrame([(n,) for n in names], "end string").select("end", F.pmod(F.xxhash64("end"), F.lit(shards)).cast("int").alias("shard")).collect()
+    shard_of = {r["end"]: r["shard"] for r in dealt}
+    found = None
+    for k in range(shards):
+        own = [r for r in rules if shard_of[r.host] == k]
+        if not own:
+            continue
+        shared = spark.sparkContext.broadcast(build_index(own))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            prober = Prober(shared.value)
+            for batch in batches:
+                judged = prober.judge(batch.column("end").to_pylist(), batch.column("path").to_pylist(), suffixes=False)
+                hit = [i for i, j in enumerate(judged) if j]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("__row").take(pa.array(hit, pa.int64())), pa.array([len(judged[i][0]) for i in hit], pa.int32()), batch.column("end").take(pa.array(hit, pa.int64())), pa.array([judged[i][0] for i in hit], pa.string()), pa.array([judged[i][1] for i in hit], pa.string())],
+                    names=["__row", "n", "end", "rule", "verdict"],
+                )
+
+        part = cut_lineage(probes.filter(F.col("shard") == k).select("__row", "path", "end").mapInArrow(run, "__row long, n int, end string, rule string, verdict string"))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return rows.select(*keys, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    best = found.groupBy("__row").agg(F.max(F.struct("n", F.length("end").alias("host_n"), "rule", "verdict")).alias("best"))
+    return rows.join(best, "__row", "left").select(*keys, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
 ORACLE = r"""
 with a as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 b as (select page_id, coalesce(rest, '') as rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') as h from a),
