@@ -26,7 +26,8 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    hostile = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
+    said = [(-7, turn, role, HOSTILE) for turn, role in enumerate(("user", "assistant"))]
+    hostile = spark.range(1).select(F.inline(F.array(*(F.struct(*map(F.lit, x)) for x in said)))).toDF("conv_id", "turn", "role", "text")
     read = chat.read_back(chat.render(chat.canonical_turns(rows.unionByName(hostile))).select("conv_id", "formatted", "loss_runs"))
     said = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     lost = F.array_join("loss_texts", "")
@@ -73,7 +74,7 @@ def op7_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.shared_folder(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), folder, "page_id", "url", "html", revisit_bytes=0)
-    captures = warc.assemble(warc.read_records(spark, folder))
+    captures = warc.assemble(cut_lineage(warc.read_records(spark, folder)))
     page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:capture:([^:]*):", 1), F.lit("")).cast("long")
     told = F.element_at("metadata.fields", "payload-length").cast("long")
     read = captures.select(

@@ -13,20 +13,22 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import checkpoint_folder, cut_lineage
+from quirelake.llm.common import checkpoint_folder, cut_lineage, join_names
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _EOL = "\r\n"
 _REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-#: Digests with copies up to which their table is broadcast; beyond, captures are joined to it by shuffle, salted.
+#: Digests with copies up to which their table is broadcast; beyond, the most frequent digests alone are, and other captures are shuffled.
 SMALL_ROWS = 200_000
-SALTS = 16
+#: Bytes of payload that an archive holds on average at most, as readers take it whole.
+ARCHIVE_BYTES = 32 << 20
 
 
 def base32_sha1(text: Column) -> Column:
@@ -52,25 +54,27 @@ def _record(block: Column, **fields: Column | str) -> Column:
 
 
 def write_archives(
-    captures: DataFrame, folder: str, key: str, url: str, payload: str, revisit_bytes: int = 0, date: str = "2026-01-01T00:00:00Z", records_per_file: int = 24_000, urn: str = "urn:capture"
+    captures: DataFrame, folder: str, key: str, url: str, payload: str, revisit_bytes: int = 0, date: str = "2026-01-01T00:00:00Z", records_per_file: int | None = None, urn: str = "urn:capture"
 ) -> None:
     """Archives, gzip-compressed, of one request, response or revisit, and metadata record a row.
 
     Of rows with equal payloads of revisit_bytes or more, those with the smallest key are responses and the others revisit; a null
     key is smaller than none, and among nulls alone all are responses. A null payload is empty; a null URL is left out, white space and
     controls in one are percent-encoded. Record ids are made of key and digest, so that repeated
-    rows repeat their ids. An empty table leaves a folder without records.
+    rows repeat their ids. An empty table leaves a folder without records. Without records_per_file archives are cut by ARCHIVE_BYTES.
     """
     text = F.coalesce(F.col(f"`{payload}`"), F.lit(""))
     rows = captures.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), text.alias("payload")).withColumn("digest", base32_sha1(F.col("payload")))
     rows = rows.withColumn("bytes", F.octet_length("payload"))
     copies = rows.filter(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
-    copies = cut_lineage(copies.filter("n > 1 and first is not null").select("digest", "first"))
+    copies = cut_lineage(copies.filter("n > 1 and first is not null"))
     if copies.count() <= SMALL_ROWS:
-        rows = rows.join(F.broadcast(copies), "digest", "left")
+        rows = rows.join(F.broadcast(copies.drop("n")), "digest", "left")
     else:
-        salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
+        rows = join_names(rows, copies, "digest", "left")
+    if records_per_file is None:
+        size = captures.agg(F.avg(F.octet_length(F.col(f"`{payload}`")) + 1000)).first()[0] or 1000
+        records_per_file = 3 * max(1, int(ARCHIVE_BYTES / size))
     again = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
     name = lambda k, kind: F.concat(F.lit(f"<{urn}:"), F.coalesce(k.cast("string"), F.lit("")), F.lit(":"), F.col("digest"), F.lit(f":{kind}>"))
     own = name(F.col("key"), "response")
@@ -103,6 +107,8 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
         size = int(headers.get("content-length", "0"))
+        if size < 0:
+            raise ValueError(f"a record of {size} bytes")
         block = stream.read(size)
         if len(block) < size:
             raise ValueError("a record breaks off")
@@ -113,8 +119,11 @@ _SCHEMA = "kind string, id string, concurrent_to string, refers_to string, uri s
 
 
 def read_records(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
-    """One row a record of the folder's archives. Responses have their payload measured and hashed; metadata and requests give fields."""
-    files = spark.read.format("binaryFile").load(folder).filter("length > 0").select("content")
+    """One row a record of the folder's archives. Responses have their payload measured and hashed; metadata and requests give fields.
+
+    An archive that breaks off or is none gives the records in front and a row of kind `error`, whose fields name the file and what is wrong.
+    """
+    files = spark.read.format("binaryFile").load(folder).filter("length > 0").select("path", "content")
 
     def row(headers: dict[str, str], block: bytes) -> dict:
         kind, size, measured, body, fields = headers.get("warc-type", ""), None, None, None, None
@@ -137,15 +146,18 @@ def read_records(spark: SparkSession, folder: str, with_payload: bool = False) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 rows: list[dict] = []
                 held = 0
-                for headers, block in parse_records(content.as_py()):
-                    rows.append(row(headers, block))
-                    held += len(block) if with_payload else 0
-                    if len(rows) >= 10_000 or held > 32 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
-                        rows, held = [], 0
+                try:
+                    for headers, block in parse_records(content.as_py()):
+                        rows.append(row(headers, block))
+                        held += len(block) if with_payload else 0
+                        if len(rows) >= 10_000 or held > 32 << 20:
+                            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+                            rows, held = [], 0
+                except (ValueError, EOFError, OSError, zlib.error) as e:
+                    rows.append({"kind": "error", "fields": [("file", path.as_py()), ("error", str(e))]})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
@@ -158,10 +170,10 @@ def assemble(records: DataFrame) -> DataFrame:
     Records other than responses and revisits belong to the record they name in concurrent_to, or to the one
     that this names in turn. Each response or revisit is a capture, repeated ids included; of several
     requests or metadata records of a capture the one with the smallest id stands. Records that lead to no response are a
-    capture without one under the id they name.
+    capture without one under the id they name. Error rows are left out. records is read three times: cut its lineage where it is costly.
     """
     main = records.filter("kind in ('response', 'revisit')")
-    other = records.filter("kind not in ('response', 'revisit', 'warcinfo')").select("kind", "id", "concurrent_to", "uri", "fields")
+    other = records.filter("kind not in ('response', 'revisit', 'warcinfo', 'error')").select("kind", "id", "concurrent_to", "uri", "fields")
     steps = other.filter("concurrent_to is not null").groupBy(F.col("id").alias("step")).agg(F.min("concurrent_to").alias("leads_to"))
     other = other.join(steps, other.concurrent_to == steps.step, "left").withColumn("root", F.coalesce("leads_to", "concurrent_to", "id"))
     part = lambda kind: F.min_by(F.when(F.col("kind") == kind, F.struct("id", "uri", "fields")), F.when(F.col("kind") == kind, F.col("id"))).alias(kind)
