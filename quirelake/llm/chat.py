@@ -20,11 +20,17 @@ OPEN, HEAD_END, CLOSE = "<turn>### ", " ###\n", "\n</turn>\n"
 
 @dataclass(frozen=True)
 class Layout:
-    """paths: what a record must have. turns: SQL over the fields giving array<struct<role, text>>; empty for one row a turn."""
+    """paths: what a record must have. turns: SQL over the fields giving array<struct<role, text>>.
+
+    For tables with one row a turn, group is the field that names a conversation and row SQL over a row's fields; turns
+    then reads `rows`, the conversation's rows in order of that struct.
+    """
 
     name: str
     paths: tuple[str, ...]
-    turns: str = ""
+    turns: str
+    group: str = ""
+    row: str = ""
 
 
 _SAY = "named_struct('role', '{role}', 'text', cast({text} as string))"
@@ -39,12 +45,13 @@ def _first(system: str, turns: str) -> str:
 
 
 _INSTRUCTION = "concat_ws('\n\n', instruction, nullif(input, ''))"
-_MESSAGES = "transform(messages, m -> named_struct('role', m.role, 'text', m.content))"
-_FROM = "transform(conversations, m -> named_struct('role', case m.from when 'human' then 'user' when 'gpt' then 'assistant' else m.from end, 'text', m.value))"
+_MESSAGES = "transform(coalesce(messages, array()), m -> named_struct('role', m.role, 'text', m.content))"
+_FROM = "transform(coalesce(conversations, array()), m -> named_struct('role', case m.from when 'human' then 'user' when 'gpt' then 'assistant' else m.from end, 'text', m.value))"
+_ROW = "named_struct('turn', turn, 'role', coalesce(cast(role as string), ''), 'text', coalesce(cast(text as string), ''))"
 
 #: Declarative mappings.
 LAYOUTS = (
-    Layout("turn_rows", ("conv_id", "role", "text", "turn")),
+    Layout("turn_rows", ("conv_id", "role", "text", "turn"), "transform(rows, r -> named_struct('role', r.role, 'text', r.text))", "conv_id", _ROW),
     Layout("messages", ("messages[].content", "messages[].role"), _MESSAGES),
     Layout("messages_system", ("messages[].content", "messages[].role", "system"), _first("system", _MESSAGES)),
     Layout("from_value", ("conversations[].from", "conversations[].value"), _FROM),
@@ -95,47 +102,52 @@ def canonical_turns(df: DataFrame, key: str = "conv_id", layouts: tuple[Layout,
 
     A table with one row a turn is grouped by key and ordered by turn (null first), then role and text, so that ties and
     repeated rows all stay, in a defined order; a null key is one conversation. Null roles and
-    texts are empty. ValueError for fields that no layout fits. Extra columns are not read.
+    texts are empty, a null array of messages has none. An empty table gives an empty one. ValueError for fields that no layout fits. Extra columns are not read.
     """
     found = resolve(field_paths(df.schema), layouts)
     if found is None:
         raise ValueError(f"no layout for the fields {sorted(field_paths(df.schema))}")
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    if found.turns:
-        turns = F.transform(F.expr(found.turns), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-        return df.select(F.col(f"`{key}`"), F.lit(found.name).alias("layout"), turns.alias("turns"))
-    rows = df.select(F.col("conv_id").alias(key), F.struct(F.col("turn"), empty("role").alias("role"), empty("text").alias("text")).alias("t"))
-    grouped = rows.groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("t"))
-    return grouped.select(key, F.lit(found.name).alias("layout"), F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    if found.group:
+        rows = df.select(F.col(f"`{found.group}`").alias(key), F.expr(found.row).alias("row"))
+        df = rows.groupBy(F.col(f"`{key}`")).agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    return df.select(F.col(f"`{key}`"), F.lit(found.name).alias("layout"), _clean(F.expr(found.turns)).alias("turns"))
+
+
+def _clean(turns: Column) -> Column:
+    """Turns without nulls; null turns stay null."""
+    return F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
 
 
 def canonical_records(df: DataFrame, record: str, key: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """As canonical_turns, for a column of JSON records, each with a layout of its own.
 
-    Each record's paths are looked up in the parsed value and hashed in the plan. Records that don't
-    parse or that no layout fits stay, with null layout and turns.
+    Each record's paths are looked up in the parsed value and hashed in the plan; a record with known fields beside a layout's falls to
+    the layout with most fields, all present, as a table does. Records that are null, don't parse or that no layout fits stay, with null
+    layout and turns; repeated rows stay; an empty table gives an empty one. Key and other columns may have any name.
     """
-    value = df.select(F.col(f"`{key}`").alias(key), F.try_parse_json(F.col(f"`{record}`")).alias("v"))
-    present = [F.when(F.expr(f"try_variant_get(v, '$.{p.replace('[]', '[0]')}', 'variant')").isNotNull(), F.lit(p)) for p in vocabulary(layouts)]
-    value = value.withColumn("fingerprint", F.sha2(F.concat_ws("\n", *present), 256))
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for code, layout in registry(layouts).items():
-        if not layout.turns:
-            continue
+    value = df.select(F.col(f"`{key}`").alias("__key"), F.try_parse_json(F.col(f"`{record}`")).alias("__v"))
+    there = {p: F.expr(f"try_variant_get(__v, '$.{p.replace('[]', '[0]')}', 'variant')").isNotNull() for p in vocabulary(layouts)}
+    value = value.withColumn("__has", F.array(*(F.when(c, F.lit(p)) for p, c in there.items())))
+    value = value.withColumn("__print", F.sha2(F.array_join("__has", "\n"), 256))
+    codes = {code: x for code, x in registry(layouts).items() if not x.group}
+    for layout in codes.values():
         roots: dict[str, str] = {}
         for p in layout.paths:
             root, _, leaf = p.partition("[].")
             roots[root] = f"{roots.get(root, '')}, {leaf}: string".lstrip(", ") if leaf else "string"
-        args = [f"try_variant_get(v, '$.{r}', '{'array<struct<' + k + '>>' if ':' in k else k}') as `{r}`" for r, k in roots.items()]
-        fields = F.expr(f"named_struct({', '.join(f"'{a.rpartition('`')[0].rpartition('`')[2]}', {a.rpartition(' as ')[0]}" for a in args)})")
-        value = value.withColumn(f"f_{layout.name}", F.when(F.col("fingerprint") == code, fields))
+        fields = [f"'{r}', try_variant_get(__v, '$.{r}', '{'array<struct<' + k + '>>' if ':' in k else k}')" for r, k in roots.items()]
+        fits = F.array_size(F.array_intersect("__has", F.array(*map(F.lit, layout.paths)))) == len(layout.paths)
+        value = value.withColumn(f"__f_{layout.name}", F.when(fits, F.expr(f"named_struct({', '.join(fields)})")))
+    chosen = [(F.col("__print") == code, x) for code, x in codes.items()]
+    chosen += [(F.col(f"__f_{x.name}").isNotNull(), x) for x in sorted(codes.values(), key=lambda x: -len(x.paths))]
+    name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
+    for test, layout in reversed(chosen):
         body = layout.turns
-        for r in roots:
-            body = _qualify(body, r, f"f_{layout.name}")
-        name = F.when(F.col("fingerprint") == code, F.lit(layout.name)).otherwise(name)
-        turns = F.when(F.col("fingerprint") == code, F.expr(body)).otherwise(turns)
-    clean = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return value.select(key, name.alias("layout"), clean.alias("turns"))
+        for r in {p.partition("[].")[0] for p in layout.paths}:
+            body = _qualify(body, r, f"__f_{layout.name}")
+        name = F.when(test, F.lit(layout.name)).otherwise(name)
+        turns = F.when(test, F.expr(body)).otherwise(turns)
+    return value.select(F.col("__key").alias(key), name.alias("layout"), _clean(turns).alias("turns"))
 
 
 def _qualify(sql: str, field: str, struct: str) -> str:

@@ -87,3 +87,18 @@ def test_odd_rows(spark):
     assert chat.render(chat.canonical_turns(df.limit(0))).count() == 0
     long = spark.createDataFrame([(1, 0, "assistant", "</turn>#" * 200_000)], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.render(chat.canonical_turns(long))).first().loss_texts[0] == "</turn>#" * 200_000
+
+
+def test_odd_records_and_tables(spark):
+    """Known fields beside a layout's, columns named as the plan's own might be, null arrays, empty tables and repeated rows."""
+    rows = [(1, '{"prompt": "p", "completion": "c", "system": "s"}'), (1, '{"prompt": "p", "completion": "c", "system": "s"}'), (2, None), (3, "{"), (4, '{"messages": []}')]
+    df = spark.createDataFrame(rows, "v long, fingerprint string")
+    got = chat.canonical_records(df, "fingerprint", "v").orderBy("v").collect()
+    assert [(r.v, r.layout) for r in got] == [(1, "prompt_completion")] * 2 + [(2, None), (3, None), (4, None)]
+    assert [tuple(t) for t in got[0].turns] == [("user", "p"), ("assistant", "c")]
+    assert chat.canonical_records(df.limit(0), "fingerprint", "v").count() == 0
+    kind = "conv_id long, system string, messages array<struct<role:string,content:string>>"
+    table = spark.createDataFrame([(1, "s", None), (2, None, [("user", None)])], kind)
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.canonical_turns(table).collect()}
+    assert got == {1: [("system", "s")], 2: [("system", ""), ("user", "")]}
+    assert chat.canonical_turns(table.limit(0)).count() == 0
