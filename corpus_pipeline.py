@@ -21,13 +21,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the stages make of documents. Their tables lie in a fresh folder below the checkpoint folder, each until the next is written."""
+    """What the stages make of documents. Their tables lie in a fresh folder below the checkpoint folder, each until the next is written, the last for the caller to delete; none after a failure."""
     docs = table(spark, sf_dir, "documents")
     folder = shared_folder(spark).replace("warc-", "pipeline-")
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}.parquet"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        if k:
-            delete_folder(spark, f"{folder}/{k - 1}.parquet")
-        docs = spark.read.parquet(path)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            path = f"{folder}/{k}.parquet"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            if k:
+                delete_folder(spark, f"{folder}/{k - 1}.parquet")
+            docs = spark.read.parquet(path)
+    except BaseException:
+        delete_folder(spark, folder)
+        raise
     return docs
