@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,25 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1024) -> DataFrame:
+    """df.mapInArrow(run, schema) within bounded memory: run gets `rows` rows at a time, and what a task has freed goes back to the machine.
+
+    Spark keeps Python workers for other tasks, and with them whatever their allocators hold on to.
+    """
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+        try:
+            yield from run(pieces)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return df.mapInArrow(bounded, schema)
+
+
 def refuse_clash(keys: list[str], made: list[str]) -> None:
     """ValueError if a key column has the name of a column that comes out beside it."""
     if clash := set(keys) & set(made):

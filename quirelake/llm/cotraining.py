@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm.linear import Ftrl, WordHasher, gram_features, platt, sigmoid
-from quirelake.llm.common import cut_lineage, refuse_clash
+from quirelake.llm.common import cut_lineage, in_arrow, refuse_clash
 from quirelake.llm.sampling import bounded_sample, sampled
 
 BITS = 18
@@ -122,7 +122,7 @@ def _featurised(rows: DataFrame) -> DataFrame:
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), pa.array(said, kind), pa.array(meta, kind)], names=["key", "y", "a", "b"])
 
-    return rows.select("key", "y", "source", "lang", "text").mapInArrow(run, "key long, y int, a array<int>, b array<int>")
+    return in_arrow(rows.select("key", "y", "source", "lang", "text"), run, "key long, y int, a array<int>, b array<int>")
 
 
 def _trained(rows: DataFrame, given: list[dict[int, int]], told: list[int]) -> Views | None:
@@ -154,7 +154,7 @@ def _trained(rows: DataFrame, given: list[dict[int, int]], told: list[int]) -> V
         rest = [*calibration[0], *calibration[1], float(np.log(rate / (1 - rate)))]
         yield pa.RecordBatch.from_arrays([pa.array([2] * len(rest)), pa.array(range(len(rest)), pa.int64()), pa.array(rest)], names=["k", "at", "w"])
 
-    made = rows.repartition(1).sortWithinPartitions("key").mapInArrow(train, "k long, at long, w double").toPandas()
+    made = in_arrow(rows.repartition(1).sortWithinPartitions("key"), train, "k long, at long, w double").toPandas()
     if made.empty:
         return None
     parts = []
@@ -240,4 +240,4 @@ def score(docs: DataFrame, model: Views | None, keys: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[*keys, "text_score", "meta_score", "score"])
 
     kinds = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys)
-    return narrow.mapInArrow(run, f"{kinds}, text_score double, meta_score double, score double")
+    return in_arrow(narrow, run, f"{kinds}, text_score double, meta_score double, score double")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import refuse_clash
+from quirelake.llm.common import in_arrow, refuse_clash
 from quirelake.llm.sampling import sampled
 
 BITS = 13
@@ -131,8 +131,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                 reach = float(far.mean() + 4 * far.std()) if len(far) else 0.0
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([reach]), pa.array([c[k].astype(np.float64)], pa.list_(pa.float64()))], names=["lang", "reach", "v"])
 
-    counted = rows.mapInArrow(count, "key long, lang string, at array<int>, n array<float>")
-    made = counted.repartition(1).sortWithinPartitions("key").mapInArrow(train, "lang string, reach double, v array<double>").collect()
+    counted = in_arrow(rows, count, "key long, lang string, at array<int>, n array<float>")
+    made = in_arrow(counted.repartition(1).sortWithinPartitions("key"), train, "lang string, reach double, v array<double>").collect()
     if not made:
         return None
     rest = made[1:]
@@ -164,4 +164,4 @@ def identify(docs: DataFrame, model: Centroids | None, keys: list[str], text: st
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], names=[*keys, "lang_pred", "score", "far"])
 
     kinds = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys)
-    return narrow.mapInArrow(run, f"{kinds}, lang_pred string, score double, far boolean")
+    return in_arrow(narrow, run, f"{kinds}, lang_pred string, score double, far boolean")

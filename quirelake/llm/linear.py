@@ -14,7 +14,7 @@ _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F16
 class WordHasher:
     """64-bit hashes of a text's words; remembers up to `limit` words."""
 
-    def __init__(self, pattern: re.Pattern = _TOKEN, limit: int = 1 << 19):
+    def __init__(self, pattern: re.Pattern = _TOKEN, limit: int = 1 << 17):
         self.pattern, self.limit, self.known = pattern, limit, {}
 
     def __call__(self, text: str) -> np.ndarray:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import cut_lineage, join_names
+from quirelake.llm.common import cut_lineage, in_arrow, join_names
 from quirelake.llm.components import connected_components
 from quirelake.llm.simhash import fingerprint_links, majority, shingle_hashes, words
 
@@ -76,7 +76,7 @@ def with_bands(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc_id", "version", "node", "size", "fp", "bands"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, version long, node long, size long, fp long, bands array<long>")
+    return in_arrow(rows, run, f"doc_id {kind}, version long, node long, size long, fp long, bands array<long>")
 
 
 def with_shingles(rows: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def with_shingles(rows: DataFrame) -> DataFrame:
             sets = [shingle_set(words(t.as_py())).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return rows.mapInArrow(run, "node long, shingles array<long>")
+    return in_arrow(rows, run, "node long, shingles array<long>")
 
 
 def _small(keys: DataFrame) -> DataFrame:

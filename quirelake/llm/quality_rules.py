@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import refuse_clash, with_text
+from quirelake.llm.common import in_arrow, refuse_clash, with_text
 from quirelake.llm.sampling import labelled
 
 #: Labelled rows that rules are learned from at most; their statistics, not their texts, go to the driver.
@@ -71,7 +71,7 @@ def with_counts(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], names=[*keys, *COUNTS])
 
     kinds = ", ".join([*(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys), *(f"{c} long" for c in COUNTS)])
-    return narrow.mapInArrow(run, kinds)
+    return in_arrow(narrow, run, kinds)
 
 
 def base_failed() -> Column:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import cut_lineage, join_names
+from quirelake.llm.common import cut_lineage, in_arrow, join_names
 from quirelake.llm.components import connected_components
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -74,7 +74,7 @@ def with_fingerprints(df: DataFrame, keys: list[str], text: str, shingle: int) -
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(made.view(np.int64))], names=[*keys, "fp"])
 
     schema = ", ".join([*(f"`{k}` {shaped.schema[k].dataType.simpleString()}" for k in keys), "fp long"])
-    return shaped.mapInArrow(run, schema)
+    return in_arrow(shaped, run, schema)
 
 
 def _signed(x: int) -> int:
@@ -227,7 +227,7 @@ def fingerprint_links(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
         if held:
             yield from solve(pa.Table.from_batches(held).combine_chunks())
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return in_arrow(dealt, run, "a long, b long", rows=1 << 16)
 
 
 def near_duplicate_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, blocks: int = 6) -> DataFrame:

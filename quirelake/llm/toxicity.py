@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import refuse_clash, with_text
+from quirelake.llm.common import in_arrow, refuse_clash, with_text
 from quirelake.llm.linear import Ftrl, WordHasher, gram_features, sigmoid
 from quirelake.llm.sampling import labelled
 
@@ -48,17 +48,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, y, held, last = [], [], 0, None
+        rows_with = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             for key, label, x in zip(batch.column("key").to_pylist(), batch.column("y").to_pylist(), batch.column("at"), strict=True):
                 if key != last and held < MAX_FEATURES:
                     y.append(label)
                     at.append(x.values.to_numpy())
+                    rows_with[at[-1]] += 1  # the indices of a row are distinct
                     held += len(at[-1])
                 last = key
         if not y:
             return
-        rows_with = np.bincount(np.concatenate([*at, np.empty(0, np.int32)]), minlength=1 << BITS)
-        at = [x[rows_with[x] >= min_rows] for x in at]
+        for i, x in enumerate(at):
+            at[i] = x[rows_with[x] >= min_rows]
         model = Ftrl(1 << BITS, alpha=0.4, l1=8.0)
         order = np.random.default_rng(5)
         for _ in range(epochs):
@@ -68,7 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(w[kept], model.bias()))], names=["at", "w"])
 
-    fitted = rows.mapInArrow(featurise, "key long, y int, at array<int>").repartition(1).sortWithinPartitions("key").mapInArrow(train, "at long, w double").toPandas()
+    fitted = in_arrow(in_arrow(rows, featurise, "key long, y int, at array<int>").repartition(1).sortWithinPartitions("key"), train, "at long, w double").toPandas()
     if fitted.empty:
         return np.empty(0, np.int64), np.empty(0), NO_LABELS
     bias = float(fitted.w[fitted["at"] == -1].sum())
@@ -100,4 +102,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keys: li
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(sigmoid(out))], names=[*keys, "score"])
 
     kinds = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys)
-    return narrow.mapInArrow(run, f"{kinds}, score double")
+    return in_arrow(narrow, run, f"{kinds}, score double")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import cut_lineage, refuse_clash
+from quirelake.llm.common import cut_lineage, in_arrow, refuse_clash
 
 #: Bytes of an index up to which it is broadcast.
 MAX_BYTES = 256 << 20
@@ -183,7 +183,7 @@ def filter_urls(df: DataFrame, rules: list[Rule], keys: list[str], url: str = "u
             yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], names=[*keys, "host", "path", "rule", "verdict"])
 
     kinds = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys)
-    return narrow.mapInArrow(run, f"{kinds}, host string, path string, rule string, verdict string")
+    return in_arrow(narrow, run, f"{kinds}, host string, path string, rule string, verdict string")
 
 
 def _shuffled(df: DataFrame, rules: list[Rule], keys: list[str], url: str, default: str, shards: int) -> DataFrame:
@@ -220,7 +220,7 @@ def _shuffled(df: DataFrame, rules: list[Rule], keys: list[str], url: str, defau
                     names=["__row", "n", "end", "rule", "verdict"],
                 )
 
-        part = cut_lineage(probes.filter(F.col("shard") == k).select("__row", "path", "end").mapInArrow(run, "__row long, n int, end string, rule string, verdict string"))
+        part = cut_lineage(in_arrow(probes.filter(F.col("shard") == k).select("__row", "path", "end"), run, "__row long, n int, end string, rule string, verdict string"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(*keys, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import checkpoint_folder, cut_lineage, join_names
+from quirelake.llm.common import checkpoint_folder, cut_lineage, in_arrow, join_names
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _EOL = "\r\n"
@@ -161,7 +161,7 @@ def read_records(spark: SparkSession, folder: str, with_payload: bool = False) -
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
-    return files.mapInArrow(run, _SCHEMA)
+    return in_arrow(files, run, _SCHEMA)
 
 
 def assemble(records: DataFrame) -> DataFrame:
