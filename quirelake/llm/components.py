@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import cut_lineage
+from quirelake.llm.common import cut_lineage, sweep
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -35,6 +35,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")
         )
         edges = cut_lineage(small.select("e.*").filter("a <> b").distinct())
+        del both, lowest, large, least, small
+        sweep(edges.sparkSession)
         before, mark = mark, _mark(edges)
         if mark == before:
             break

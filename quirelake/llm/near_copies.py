@@ -12,7 +12,6 @@ filter by shingle, place and size, which loses none, lets them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import cut_lineage, in_arrow, join_names
+from quirelake.llm.common import cut_lineage, in_arrow, join_names, sweep
 from quirelake.llm.components import connected_components
 from quirelake.llm.simhash import fingerprint_links, majority, shingle_hashes, words
 
@@ -122,7 +121,7 @@ def index_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs (a, b) of rest's nodes of different comp that can be similar enough; rest: (node, size, comp).
+    """All pairs (a, b), with a_comp and b_comp, of rest's nodes of different comp that can be similar enough; rest: (node, size, comp).
 
     In any one order of all shingles, two sets share no more than what follows the first that they have in common, itself
     included, in either. So a shingle at some place of a set bounds how large a partner that meets it there may be (cap), and few places in
@@ -144,29 +143,28 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     near = cut_lineage(first.join(_small(shared), "s").filter("cap >= low and size <= high").select("s", "node", "size", "comp", "cap", "major"))
     one = near.filter("comp <> major").select("s", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("comp").alias("a_comp"), F.col("cap").alias("a_cap"))
     met = one.join(near, "s").filter("comp <> a_comp and size <= a_cap and a_size <= cap and (comp = major or a < node)")
-    return met.select("a", F.col("node").alias("b"))
+    return met.select("a", F.col("node").alias("b"), "a_comp", F.col("comp").alias("b_comp"))
 
 
-def links(met: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
-    """Verified edges (a, b) that connect the same nodes as all verified pairs of a band and the verified edges known do; met: (band, node, size, score)."""
-    found = [known]
+def central_pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each band's nodes with the one of them whose bands hold most nodes; met: (band, node, size, score)."""
+    centre = F.max(F.struct("score", F.col("node").alias("b"), F.col("size").alias("b_size")))
+    heads = cut_lineage(met.groupBy("band").agg(centre.alias("one")).select("band", "one.b", "one.b_size"))
+    return met.join(_small(heads), "band").filter((F.col("node") != F.col("b")) & _sizes_allow("size", "b_size")).select(F.col("node").alias("a"), "b").distinct()
 
-    def named() -> DataFrame:
-        roots = connected_components(reduce(DataFrame.union, found))
-        return cut_lineage(met.join(roots, "node", "left").select("band", "node", "size", "score", F.coalesce("root", "node").alias("comp")))
 
-    def add(pairs: DataFrame) -> None:
-        found.append(cut_lineage(verified(cut_lineage(pairs.distinct()), sets)))
-
-    state = named()
-    centre = F.max(F.struct("score", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("comp").alias("b_comp")))
-    mixed = state.groupBy("band").agg(centre.alias("one"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    heads = cut_lineage(mixed.select("band", "one.b", "one.b_size", "one.b_comp"))
-    add(state.join(_small(heads), "band").filter((F.col("comp") != F.col("b_comp")) & _sizes_allow("size", "b_size")).select(F.col("node").alias("a"), "b"))
-    state = named()
+def components(met: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, root) that all verified pairs of a band and the verified ones of pairs make; nodes without a link may be missing."""
+    roots = cut_lineage(connected_components(verified(pairs, sets)))
+    state = cut_lineage(met.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("comp")))
     apart = state.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("band")
-    add(prefix_pairs(cut_lineage(state.join(_small(cut_lineage(apart)), "band").select("node", "size", "comp").distinct()), sets))
-    return reduce(DataFrame.union, found)
+    rest = cut_lineage(state.join(_small(cut_lineage(apart)), "band").select("node", "size", "comp").distinct())
+    sweep(met.sparkSession)
+    more = cut_lineage(prefix_pairs(rest, sets).distinct())
+    alike = verified(more.select("a", "b"), sets).join(more, ["a", "b"]).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    joined = cut_lineage(connected_components(alike).select(F.col("node").alias("comp"), F.col("root").alias("top")))
+    named = state.select("node", "comp").distinct().unionByName(roots.select("node", F.col("root").alias("comp"))).distinct()
+    return named.join(_small(joined), "comp", "left").select("node", F.coalesce("top", "comp").alias("root"))
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
@@ -182,16 +180,19 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")
     nodes = kept.groupBy("node").agg(F.min(place).alias("from"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
     nodes = cut_lineage(nodes)
-    pairs = cut_lineage(index_pairs(nodes.filter("size > 0").select("node", "fp")))
+    pairs = index_pairs(nodes.filter("size > 0").select("node", "fp"))
     entries = nodes.select("node", "size", F.explode("bands").alias("band"))
     shared = cut_lineage(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     met = cut_lineage(entries.join(_small(shared), "band").select("band", "node", "size", "n"))
     met = met.drop("n").join(met.groupBy("node").agg(F.sum("n").alias("score")), "node")
+    met = cut_lineage(met)
+    pairs = cut_lineage(pairs.union(central_pairs(met)).distinct())
+    sweep(docs.sparkSession)
     ends = met.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     wanted = cut_lineage(nodes.join(ends, "node", "left_semi").select("node", F.col("from.doc_id").alias("k_id"), F.col("from.version").alias("k_version")))
     texts = narrow.join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("version") == F.col("k_version")))
     sets = cut_lineage(with_shingles(texts.select("node", "text")).dropDuplicates(["node"]))
-    roots = connected_components(links(met, sets, cut_lineage(verified(pairs, sets))))
+    roots = components(met, sets, pairs)
     named = cut_lineage(nodes.join(roots, "node", "left").select("node", "n", "from", F.coalesce("root", "node").alias("root")))
     first = named.groupBy("root").agg(F.min("from").alias("first"), F.count(F.lit(1)).alias("n"))
     named = join_names(named.select("node", F.col("n").alias("rows"), "root"), first, "root").withColumnRenamed("rows", "n")
