@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as _html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,9 +22,13 @@ DENIED_TAGS = "script style iframe object embed applet frame frameset noscript s
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·"}
 
 
+# Numeric references beyond the last code point by their length alone: parsing thousands of digits is refused.
+_LONG = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,});?")
+
+
 @F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else _html.unescape(t))
+    return text.map(lambda t: None if t is None else _html.unescape(_LONG.sub("\ufffd", t)))
 
 
 def drop_comments(html: Column) -> Column:

@@ -28,12 +28,12 @@ def markdown_sections(df: DataFrame, doc: str, text: str = "text", any_level: bo
 
 
 def frontmatter(text: Column) -> Column:
-    """struct<fields map<string,string>, body>: the `key: value` lines of a leading --- block, and what follows it."""
+    """struct<fields map<string,string>, body>: the `key: value` lines of a leading --- block, and what follows it. Names are lower-cased; of one name the last line counts."""
     block = F.regexp_extract(text, r"(?s)\A---[ \t]*\n(.*?\n)---[ \t]*(?:\n|\z)", 1)
     has = text.rlike(r"(?s)\A---[ \t]*\n(.*?\n)---[ \t]*(?:\n|\z)")
     lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^[A-Za-z0-9_\-]+[ \t]*:"))
     trimmed = lambda c: F.regexp_replace(c, r"""^[ \t]*["']?|["']?[ \t]*$""", "")
-    pairs = F.transform(lines, lambda x: F.struct(trimmed(F.regexp_extract(x, r"^([^:]*):", 1)).alias("key"), trimmed(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("value")))
+    pairs = F.transform(lines, lambda x: F.struct(F.lower(trimmed(F.regexp_extract(x, r"^([^:]*):", 1))).alias("key"), trimmed(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("value")))
     names = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
     last = F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["key"] == n), -1)["value"])
     body = F.when(has, F.regexp_replace(text, r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)", "")).otherwise(text)

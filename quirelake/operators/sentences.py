@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import BLANK
 from quirelake.schema import Limits
 
-#: Put behind the blanks at each boundary; a noncharacter, which no text should hold.
-_MARK = "\uFFFF"
+#: Pieces that are folded at a time; blocks of them keep the fold linear in the text.
+_BLOCK = 128
 # What a sentence ends and the next one starts with; languages with rules of their own.
 ENDS, STARTS = ".!?", "A-ZÜÖÄ\\d\"'("
 LANGUAGES = "am ar bg da de el en es fa fr hi hy it ja kk mr my nl pl ru sk ur zh".split()
@@ -21,31 +23,48 @@ def resolve_language(language: Column) -> Column:
     return F.when(base.isin(*LANGUAGES), base).otherwise("en")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value being computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _pieces(text: Column) -> Column:
     """The text cut behind each boundary's blanks; together the pieces are the text."""
-    return F.split(F.regexp_replace(text, rf"(?<=[{ENDS}])({BLANK}+)(?=[{STARTS}])", f"$1{_MARK}"), _MARK)
+    return F.regexp_extract_all(text, F.lit(rf"(?s).+?(?:(?<=[{ENDS}]){BLANK}+(?=[{STARTS}])|\z)"), F.lit(0))
 
 
 def sentences(text: Column, max_sentences: int = Limits.max_sentences) -> Column:
     """array<struct<index, text, char_start, char_end, line_start, line_end>>: 0-based half-open code points, 1-based lines.
 
     text[char_start:char_end] is the sentence. Empty text has none, null text null. Sentences beyond the cap are left out. All
-    happens within the row: running sums over its pieces, no shuffle.
+    happens within the row, without a shuffle: running sums over blocks of pieces, and over the pieces of each block.
     """
-    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<text:string,char_start:int,line_start:int>>").alias("out"))
+    place, found_type = "struct<at:int,line:int>", "array<struct<text:string,char_start:int,line_start:int>>"
 
     def step(acc: Column, piece: Column) -> Column:
         body = F.regexp_replace(piece, rf"^{BLANK}+|{BLANK}+\z", "")
         lead = F.length(piece) - F.length(F.regexp_replace(piece, rf"^{BLANK}+", ""))
         line = acc["line"] + F.regexp_count(F.substring(piece, F.lit(1), lead), F.lit("\n"))
-        found = F.when(body != "", F.array(F.struct(body.alias("text"), (acc["at"] + lead).alias("char_start"), line.alias("line_start")))).otherwise(
-            F.array().cast("array<struct<text:string,char_start:int,line_start:int>>")
-        )
+        found = F.when(body != "", F.array(F.struct(body.alias("text"), (acc["at"] + lead).alias("char_start"), line.alias("line_start")))).otherwise(F.array().cast(found_type))
         return F.struct(
             (acc["at"] + F.length(piece)).alias("at"), (acc["line"] + F.regexp_count(piece, F.lit("\n"))).alias("line"), F.concat(acc["out"], found).alias("out")
         )
 
-    found = F.aggregate(F.slice(_pieces(text), 1, max_sentences), start, step)["out"]
+    def over(acc: Column, block: Column) -> Column:
+        whole = F.array_join(block, "")
+        at, line = acc["at"] + F.length(whole), acc["line"] + F.regexp_count(whole, F.lit("\n"))
+        return F.struct(at.alias("at"), line.alias("line"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), acc["line"].alias("line")))).alias("out"))
+
+    def fold(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.struct(start["at"].alias("at"), start["line"].alias("line"), F.array().cast(found_type).alias("out")), step)["out"]
+
+    def blocks(pieces: Column) -> Column:
+        numbers = F.when(F.size(pieces) > 0, F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.when(pieces.isNotNull(), F.transform(numbers, lambda b: F.slice(pieces, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+    first = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(f"array<{place}>").alias("out"))
+    cut = _let(F.slice(_pieces(text), 1, max_sentences), blocks)
+    found = _let(cut, lambda x: F.flatten(F.zip_with(x, F.aggregate(x, first, over)["out"], fold)))
     return F.transform(
         found,
         lambda s, i: F.struct(

@@ -51,7 +51,7 @@ def ocr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as engine output: a line row and then its words, one of them blank, and a malformed row."""
-    w = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != ""), 1, 12)
+    w = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
     row = lambda *f: F.concat_ws("\t", *[x if not isinstance(x, str) else F.lit(x) for x in f])
     line = row("4", "1", "1", "1", "1", "0", "0", "0", "500", "14", "-1", "")
     words = F.transform(
@@ -75,7 +75,7 @@ def tsv_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TSV_SQL = r"""
-w as (select conv_id, turn, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')[1:12] as w from conversations),
+w as (select conv_id, turn, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') as w from conversations),
 x as (select conv_id, turn, unnest(w) as text, generate_subscripts(w, 1) - 1 as i from w), ws as (select * from x where i <> 4)
 """
 
@@ -179,7 +179,7 @@ def furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda text, y: F.struct(text.alias("text"), F.lit(y).alias("y0"), F.lit(y + 10.0).alias("y1"))
     lines = F.array(
         line(F.concat(F.lit("Bericht  "), (F.col("turn") % 2 + 2020).cast("string")), 20.0), line(F.concat(F.lit("Seite "), F.col("turn").cast("string"), F.lit(" von 9")), 780.0),
-        line(F.substring(F.coalesce("text", F.lit("")), 1, 12), 400.0), line(F.concat(F.lit("Kapitel "), F.col("conv_id").cast("string"), F.lit(" "), F.lower(F.substring(F.col("text"), 1, 3))), 770.0),
+        line(F.coalesce("text", F.lit("")), 400.0), line(F.concat(F.lit("Kapitel "), F.col("conv_id").cast("string"), F.lit(" "), F.lower(F.substring(F.col("text"), 1, 3))), 770.0),
     )
     rows = c.select("conv_id", "turn", F.explode(lines).alias("l")).select("conv_id", "turn", "l.*", F.lit(800.0).alias("height"))
     return layout.furniture(rows, "conv_id", "turn").groupBy("conv_id", "turn").agg(F.count_if("furniture").alias("furniture"))
@@ -263,7 +263,7 @@ ORACLE_SQL = {
     "tsv_text": "with " + _TSV_SQL + """,
         l as (select conv_id, turn, i // 6 as b, i // 3 as l, string_agg(text, ' ' order by i) as t from ws group by all),
         bl as (select conv_id, turn, b, string_agg(t, chr(10) order by l) as t from l group by all)
-        select bl.conv_id, bl.turn, string_agg(t, chr(10) || chr(10) order by b) as text, (select round(avg(length(w.text) + 60), 2) from ws w where w.conv_id = bl.conv_id and w.turn = bl.turn) as mean_conf from bl group by 1, 2""",
+        select bl.conv_id, bl.turn, string_agg(t, chr(10) || chr(10) order by b) as text, (select floor(sum(length(w.text) + 60) * 100 / count(*)::double + 0.5) / 100 from ws w where w.conv_id = bl.conv_id and w.turn = bl.turn) as mean_conf from bl group by 1, 2""",
     "affine_boxes": "with " + _TSV_SQL + """
         select conv_id, turn, text, 956.0::double as x0, (i * 80 + 5)::double as y0, 980.0::double as x1, (i * 80 + 77)::double as y1, 28.0::double as line_h, (i * 40)::double as back_x0, 22.0::double as back_y1 from ws""",
     "cache_key": f"with {_KEY_SQL} select * from k",

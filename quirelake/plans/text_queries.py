@@ -87,15 +87,15 @@ _HOSTILE = (("", ""), ("‮", ""), ("\x1b[2J", ""), ("  ", "\t "), ("\x9b", "x")
 
 def sanitize_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % len(_HOSTILE)
-    raw = F.element_at(F.array(*[F.concat(F.lit(a), F.substring("text", 1, 40), F.lit(b)) for a, b in _HOSTILE[:-1]], F.concat(F.col("text"), F.repeat(F.lit("x"), 5000))), (k + 1).cast("int"))
+    raw = F.element_at(F.array(*[F.concat(F.lit(a), F.col("text"), F.lit(b)) for a, b in _HOSTILE[:-1]], F.concat(F.col("text"), F.repeat(F.lit("x"), 5000))), (k + 1).cast("int"))
     raw = F.regexp_replace(raw, "\n", " ")
     return _docs(spark, sf_dir).select("doc_id", T.sanitize_scalar(raw).alias("s")).select("doc_id", F.sha2(F.col("s.value"), 256).alias("value_sha256"), F.col("s.category").alias("category"))
 
 
 _SANITIZE_SQL = r"""
 with r as (
-  select doc_id, regexp_replace(case doc_id % 6 when 0 then left(text, 40) when 1 then chr(8238) || left(text, 40) when 2 then chr(27) || '[2J' || left(text, 40)
-    when 3 then '  ' || left(text, 40) || chr(9) || ' ' when 4 then chr(155) || left(text, 40) || 'x' else text || repeat('x', 5000) end, '\n', ' ', 'g') as v from documents
+  select doc_id, regexp_replace(case doc_id % 6 when 0 then text when 1 then chr(8238) || text when 2 then chr(27) || '[2J' || text
+    when 3 then '  ' || text || chr(9) || ' ' when 4 then chr(155) || text || 'x' else text || repeat('x', 5000) end, '\n', ' ', 'g') as v from documents
 ), s as (select doc_id, regexp_replace(regexp_replace(v, '^[ \t]+', ''), '[ \t]+$', '') as v from r)
 select doc_id, case when doc_id % 6 in (1, 2, 4) or v = '' then null else sha256(left(v, 4096)) end as value_sha256,
        case when doc_id % 6 in (1, 2, 4) then 'control_chars' when length(v) > 4096 then 'truncated' end as category
@@ -160,12 +160,15 @@ _MARKS = (("", ""), ("(cid:12)(cid:7) ", ""), ("�� ", ""), ("", " bcdfghjklm
 
 
 def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text layers of 0 to 160 characters with unmapped glyphs and consonant runs put in, and an image cover."""
+    """Whole texts as layers, with unmapped glyphs and consonant runs put in, and an image cover; under ids below zero short layers of up to 160 characters, some empty."""
     k = (F.col("doc_id") % len(_MARKS) + 1).cast("int")
     size = (F.col("doc_id") % 9 * 20).cast("int")
     pick = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in _MARKS]), k)
-    layer = F.concat(pick(0), F.replace(F.substring(F.col("text"), F.lit(1), size), F.lit("\n"), F.lit(" ")), pick(1))
-    return _docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(layer).alias("layer"), (F.col("doc_id") % 21 / 20.0).alias("cover"))
+    layer = lambda text: F.concat(pick(0), F.replace(text, F.lit("\n"), F.lit(" ")), pick(1))
+    short = F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(layer(F.substring(F.col("text"), F.lit(1), size)))
+    both = F.array(F.struct(F.col("doc_id").alias("id"), layer(F.col("text")).alias("layer")), F.struct((-1 - F.col("doc_id")).alias("id"), short.alias("layer")))
+    rows = _docs(spark, sf_dir).select((F.col("doc_id") % 21 / 20.0).alias("cover"), F.inline(both))
+    return rows.select(F.col("id").alias("doc_id"), "layer", "cover")
 
 
 def layer_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,11 +182,11 @@ def ocr_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LAYERS_SQL = r"""
 l as (
-  select doc_id, case when doc_id % 11 = 0 then '' else
+  select case when short then -1 - doc_id else doc_id end as doc_id, case when short and doc_id % 11 = 0 then '' else
     ['', '(cid:12)(cid:7) ', chr(65533) || chr(65533) || ' ', '', chr(57344), '¤¤¤¤ ¶¶¶¶ '][(doc_id % 6 + 1)::int]
-    || replace(left(text, (doc_id % 9 * 20)::int), chr(10), ' ') || ['', '', '', ' bcdfghjklm', '', ''][(doc_id % 6 + 1)::int] end as layer,
+    || replace(case when short then left(text, (doc_id % 9 * 20)::int) else text end, chr(10), ' ') || ['', '', '', ' bcdfghjklm', '', ''][(doc_id % 6 + 1)::int] end as layer,
     (doc_id % 21) / 20.0::double as cover
-  from documents
+  from documents, (values (false), (true)) as v(short)
 ), k as (
   select *, regexp_replace(regexp_replace(layer, '^\s+', ''), '\s+$', '') as s, list_filter(string_split_regex(layer, '\s+'), lambda w: w <> '') as w,
          len(regexp_extract_all(layer, '\(cid:\d+\)|\x{FFFD}|[\x{E000}-\x{F8FF}]')) as marks

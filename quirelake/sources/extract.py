@@ -109,13 +109,14 @@ def parse(df: DataFrame, keys: list[str], content: str = "content", mime: str =
     if text_mode not in ("plain", "layout"):
         raise ValueError(f"text_mode is plain or layout, not {text_mode!r}")
     ship(df.sparkSession)
-    narrow = df.select(*keys, F.col(content).alias("__content"), F.col(mime).alias("__mime"))
+    narrow = df.select(*keys, F.col(content).alias("__content"), F.col(mime).alias("__mime"), (F.col("length") if "length" in df.columns else F.lit(None)).cast("double").alias("__length"))
     kinds = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys)
     added = dict(_ADDED)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [parse_one(bytes(c) if c is not None else b"", m or "", limits, emit_markdown, text_mode, added) for c, m in zip(pdf["__content"], pdf["__mime"], strict=True)]
+            rows = [r | {"error": {"kind": "exhausted", "what": "max_input_bytes", "limit": float(limits.max_input_bytes), "observed": None if n is None else float(n)}} if c is None else r for r, c, n in zip(rows, pdf["__content"], pdf["__length"], strict=True)]
             parsed = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _COLUMNS], index=pdf.index)
             yield pd.concat([pdf[keys], parsed], axis=1)
 
@@ -179,10 +180,10 @@ def extract(files: DataFrame, path: str = "path", content: str = "content", mime
 
 
 def read_files(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
-    """(path, content) of the files that the path names; those over the cap keep a null content, which is not read."""
+    """(path, content, length) of the files that the path names; those over the cap keep a null content, which is not read and becomes an error."""
     files = spark.read.format("binaryFile").load(path)
-    small = files.filter(F.col("length") <= limits.max_input_bytes).select("path", "content")
-    large = files.filter(F.col("length") > limits.max_input_bytes).select("path", F.lit(None).cast("binary").alias("content"))
+    small = files.filter(F.col("length") <= limits.max_input_bytes).select("path", "content", "length")
+    large = files.filter(F.col("length") > limits.max_input_bytes).select("path", F.lit(None).cast("binary").alias("content"), "length")
     return small.unionByName(large)
 
 
