@@ -41,20 +41,22 @@ class PieceHasher(WordHasher):
         return (xxhash.xxh64_intdigest(word) & ~3) | word.isupper() | (not word.isalnum()) << 1
 
 
-def _shape(h: np.ndarray) -> list[str]:
+def _shape(pieces: list[str], h: np.ndarray) -> list[str]:
     """Coarse classes of a text's pieces, so that unseen words still say something."""
     n = max(1, len(h))
     upper, marks = int((h & np.uint64(1)).sum()), int((h >> np.uint64(1) & np.uint64(1)).sum())
-    return [f"upper {10 * upper // n}", f"marks {10 * marks // n}", f"distinct {10 * len(np.unique(h)) // n}"]
+    return [f"upper {10 * upper // n}", f"marks {10 * marks // n}", f"distinct {10 * len(set(pieces)) // n}"]
 
 
 def text_view(text: str | None, hasher: PieceHasher, kept: np.ndarray | None = None) -> np.ndarray:
     """Distinct indices of pieces, of pairs of neighbours and of the shape; with kept, of those that it marks only."""
-    h = hasher(text or "")
-    own = np.array([xxhash.xxh64_intdigest(s) >> (64 - BITS) for s in _shape(h)], np.int32)
-    if len(h):
-        own = np.append(gram_features(h, BITS, grams=2, skips=0), own)
-    return np.unique(own if kept is None else own[kept[own]])
+    pieces = hasher.words(text or "")
+    h = hasher.hashes(pieces)
+    shape = np.array([xxhash.xxh64_intdigest(s) >> (64 - BITS) for s in _shape(pieces, h)], np.int32)
+    own = gram_features(h, BITS, grams=2, skips=0) if pieces else shape[:0]
+    if kept is not None:
+        own, shape = own[kept[own]], shape[kept[shape]]
+    return np.unique(np.append(own, shape))
 
 
 def meta_view(source: str | None, lang: str | None, text: str | None) -> np.ndarray:

@@ -14,7 +14,7 @@ _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F16
 class WordHasher:
     """64-bit hashes of a text's words; remembers up to `limit` words."""
 
-    def __init__(self, pattern: re.Pattern = _TOKEN, limit: int = 1 << 17):
+    def __init__(self, pattern: re.Pattern = _TOKEN, limit: int = 1 << 18):
         self.pattern, self.limit, self.known = pattern, limit, {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -27,12 +27,12 @@ class WordHasher:
         known = self.known
         if len(known) > self.limit:
             known.clear()
-        got = list(map(known.get, words))
-        if None in got:
-            for i, h in enumerate(got):
-                if h is None:
-                    got[i] = known[words[i]] = self.code(words[i])
-        return np.array(got, np.uint64)
+        try:
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        except KeyError:
+            for word in set(words).difference(known):
+                known[word] = self.code(word)
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def code(self, word: str) -> int:
         return xxhash.xxh64_intdigest(word)
