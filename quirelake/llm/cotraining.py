@@ -6,7 +6,6 @@ of all that a view is sure of, the surest, a bounded number, become pseudo-label
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.linear import Ftrl, WordHasher, gram_features, platt, sigmoid
+from quirelake.llm.linear import Ftrl, gram_features, platt, sigmoid
 from quirelake.llm.common import cut_lineage, in_arrow, refuse_clash
 from quirelake.llm.sampling import bounded_sample, sampled
 
@@ -27,33 +26,87 @@ MAX_LABELLED = 8_000
 MAX_FEATURES = 40_000_000
 #: Rounds of exchange; the share of all rows without a label, and how many at most, that a view gives pseudo-labels in a round, the surest; how sure it must be.
 ROUNDS, SHARE, MAX_GIVEN, SURE = 2, 0.08, 1_000, 0.9
-#: Words with what is attached to them: marks and case tell quality.
-_PIECE = re.compile(r"\w+|[^\w\s]+")
+#: What a character is to a piece.
+WORDS, MARKS, UPPER, LOWER, NOT_ALNUM = 1, 2, 4, 8, 16
+_BASE = 0x9E3779B97F4A7C15
 
 
-class PieceHasher(WordHasher):
-    """Hashes whose lowest bit tells upper case and whose next one tells marks."""
+def _kind(char: str) -> int:
+    if char.isspace():
+        return 0
+    word = char.isalnum() or char == "_"
+    return (WORDS if word else MARKS) | UPPER * char.isupper() | LOWER * (char.islower() or char.istitle() and not char.isupper()) | NOT_ALNUM * (not char.isalnum())
 
-    def __init__(self) -> None:
-        super().__init__(_PIECE)
 
-    def code(self, word: str) -> int:
-        return (xxhash.xxh64_intdigest(word) & ~3) | word.isupper() | (not word.isalnum()) << 1
+class PieceHasher:
+    """64-bit hashes of a text's pieces, runs of letters, digits and _ or runs of marks; marks and case tell quality.
 
+    The lowest bit tells upper case and the next one marks, for which a text's characters are looked at as an array. A text is read
+    in blocks of `block` characters, longer where a piece is.
+    """
 
-def _shape(pieces: list[str], h: np.ndarray) -> list[str]:
+    def __init__(self, block: int = 1 << 20) -> None:
+        self.block = block
+        self.kinds = np.array([_kind(chr(c)) for c in range(1 << 16)], np.uint8)
+        self.powers = self._powers(1 << 10)
+
+    @staticmethod
+    def _powers(n: int) -> np.ndarray:
+        return np.cumprod(np.full(n, _BASE, np.uint64))
+
+    def __call__(self, text: str) -> np.ndarray:
+        if len(text) <= self.block:
+            return self._read(text, True)[0]
+        found, at, size = [], 0, self.block
+        while at < len(text):
+            last = at + size >= len(text)
+            own, end = self._read(text[at : at + size], last)
+            found.append(own)
+            at, size = at + end, self.block if end else 2 * size
+        return np.concatenate(found)
+
+    def _read(self, text: str, last: bool) -> tuple[np.ndarray, int]:
+        """The hashes of the runs of a block, and where they end: the last run of a block in front of others may go on in the next."""
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.kinds[np.minimum(chars, 0xFFFF)]
+        for i in np.flatnonzero(chars > 0xFFFF).tolist():
+            kinds[i] = _kind(text[i])
+        runs = kinds & (WORDS | MARKS)
+        starts = np.flatnonzero(np.diff(runs, prepend=np.uint8(255)))
+        end = len(chars)
+        if not last:
+            end, starts = int(starts[-1]), starts[:-1]
+            chars, kinds = chars[:end], kinds[:end]
+        if not len(starts):
+            return np.zeros(0, np.uint64), end
+        lengths = np.diff(starts, append=end)
+        if lengths.max() > len(self.powers):
+            self.powers = self._powers(2 * int(lengths.max()))
+        place = np.arange(end) - np.repeat(starts, lengths)
+        h = np.add.reduceat(chars * self.powers[place], starts)
+        told = np.bitwise_or.reduceat(kinds, starts)
+        pieces = runs[starts] > 0
+        h, told = h[pieces], told[pieces]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        upper = (told & (UPPER | LOWER)) == UPPER
+        return (h & ~np.uint64(3)) | upper | ((told & NOT_ALNUM) > 0) * np.uint64(2), end
+
+
+def _shape(h: np.ndarray) -> list[str]:
     """Coarse classes of a text's pieces, so that unseen words still say something."""
     n = max(1, len(h))
+    ordered = np.sort(h)
+    distinct = min(1, len(h)) + np.count_nonzero(ordered[1:] != ordered[:-1])
     upper, marks = int((h & np.uint64(1)).sum()), int((h >> np.uint64(1) & np.uint64(1)).sum())
-    return [f"upper {10 * upper // n}", f"marks {10 * marks // n}", f"distinct {10 * len(set(pieces)) // n}"]
+    return [f"upper {10 * upper // n}", f"marks {10 * marks // n}", f"distinct {10 * distinct // n}"]
 
 
 def text_view(text: str | None, hasher: PieceHasher, kept: np.ndarray | None = None) -> np.ndarray:
     """Distinct indices of pieces, of pairs of neighbours and of the shape; with kept, of those that it marks only."""
-    pieces = hasher.words(text or "")
-    h = hasher.hashes(pieces)
-    shape = np.array([xxhash.xxh64_intdigest(s) >> (64 - BITS) for s in _shape(pieces, h)], np.int32)
-    own = gram_features(h, BITS, grams=2, skips=0) if pieces else shape[:0]
+    h = hasher(text or "")
+    shape = np.array([xxhash.xxh64_intdigest(s) >> (64 - BITS) for s in _shape(h)], np.int32)
+    own = gram_features(h, BITS, grams=2, skips=0) if len(h) else shape[:0]
     if kept is not None:
         own, shape = own[kept[own]], shape[kept[shape]]
     return np.unique(np.append(own, shape))

@@ -98,6 +98,22 @@ def test_pseudo_labels_come_from_all_rows(spark, larger):
         assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-np.clip(a + b - c[4], -35, 35)))) < 1e-5
 
 
+def test_pieces_are_hashed_alike_in_any_block():
+    """Against a plain reading: a hash a piece, equal for equal pieces only, with its case and marks; blocks cut no piece."""
+    texts = ["", " \t", "One two, ONE... a_b __ \u00c9T\u00c9 \u01c5\u00c5 x\u00b2 \u00a0 \U0001d400B \U0001f600\U0001f600! \ud800 9\x1c8 A1 \u2160\u0345", "word" * 3000 + " !" + "?" * 2500 + " end", "ab cd " * 50]
+    seen: dict[str, int] = {}
+    for text in texts:
+        pieces = re.findall(r"\w+|[^\w\s]+", text)
+        got = cotraining.PieceHasher()(text)
+        assert len(got) == len(pieces)
+        for piece, h in zip(pieces, got.tolist(), strict=True):
+            assert seen.setdefault(piece, h) == h
+            assert (h & 1, h >> 1 & 1) == (piece.isupper(), not piece.isalnum())
+        for block in (1, 2, 7, 64):
+            assert cotraining.PieceHasher(block)(text).tolist() == got.tolist()
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_toxicity_is_the_plain_sum(spark, sf):
     """Scores of whole texts against a plain reading of the n-grams and skip-grams that the model kept."""
     docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
