@@ -67,3 +67,29 @@ def test_packs_repeat_their_head():
     assert len(packs) > 1 and all(p.startswith("name | 2023\n") for p in packs)
     assert [x for p in packs for x in p.split("\n")[1:]] == lines
     assert all(tokens.est_tokens("name | 2023") + sum(map(tokens.est_tokens, p.split("\n")[1:])) <= page.PACK_TOKENS for p in packs)
+
+
+BARE = "<html lang='en'><body><h1>x&amp;&amp</h1><p>&eacute; &amp &copy 1 &notit; &#65 &#65; a&b=c</p></body></html>"
+
+
+def test_references_end_in_a_semicolon_where_bare_ones_do_not_count(spark):
+    t = F.col("t")
+    got = spark.createDataFrame([(BARE,), ("<p>&amp;&amp</p>",)], "t string").select(H.html_to_text(t, True, bare=False).alias("closed"), H.html_to_text(t, True).alias("all")).collect()
+    assert got[0].closed == "x&&amp\n\né &amp &copy 1 &notit; &#65 A a&b=c" and got[1].closed == "&&amp"
+    assert got[0].all == "x&&\n\né & © 1 ¬it; A A a&b=c" and got[1].all == "&&"
+
+
+def _pages_cut_in_a_reference(spark, folder):
+    spark.createDataFrame([(1, "https://example.org/", BARE.replace("&notit;", "").replace("&eacute;", "").replace("&#65;", "")), (2, "https://example.org/2", "<title>t</title><p>One&amp. Two.</p>")], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return str(folder)
+
+
+def _as_its_sql(spark, folder, name):
+    from quirelake.plans import catalogue
+    from tests.duck import rows, views
+
+    assert rows(catalogue.QUERIES[name](spark, folder).toPandas()) == rows(views(folder).sql(catalogue.ORACLE_SQL[name]).df())
+
+
+def test_html_text_of_pages_cut_in_a_reference(spark, tmp_path):
+    _as_its_sql(spark, _pages_cut_in_a_reference(spark, tmp_path), "html_text")
