@@ -93,3 +93,7 @@ def _as_its_sql(spark, folder, name):
 
 def test_html_text_of_pages_cut_in_a_reference(spark, tmp_path):
     _as_its_sql(spark, _pages_cut_in_a_reference(spark, tmp_path), "html_text")
+
+
+def test_page_citations_of_pages_cut_in_a_reference(spark, tmp_path):
+    _as_its_sql(spark, _pages_cut_in_a_reference(spark, tmp_path), "page_citations")
