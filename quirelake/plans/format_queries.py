@@ -89,7 +89,7 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through the HTML reader: text nodes, title, language, word count, fingerprint."""
     files = _table(spark, sf_dir, "pages").select(F.concat(F.lit("web/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
-    out = extract(files)
+    out = extract(files, bare_references=False)
     return out.select(
         F.col("source.path").alias("path"), F.col("source.sha256").alias("sha256"), F.col("source.size_bytes").alias("size_bytes"), F.col("metadata.language").alias("language"), F.sha2("content.text", 256).alias("text_sha256"), F.col("metadata.word_count").alias("words")
     )

@@ -50,7 +50,7 @@ def _decode(data: bytes) -> tuple[str, str]:
     return data.decode("utf-8", "replace"), "utf-8"
 
 
-def parse_one(data: bytes, mime: str, limits: Limits, emit_markdown: bool, text_mode: str, added: dict[str, Callable]) -> dict:
+def parse_one(data: bytes, mime: str, limits: Limits, emit_markdown: bool, text_mode: str, added: dict[str, Callable], bare_references: bool = True) -> dict:
     """A row of PARSED; refusals and failures become its error, never an exception."""
     from dataclasses import asdict
 
@@ -72,7 +72,7 @@ def parse_one(data: bytes, mime: str, limits: Limits, emit_markdown: bool, text_
         elif mime == "text/html":
             from quirelake.sources.html_dom import read_html
 
-            out = read_html(_decode(data)[0], emit_markdown, limits.max_metadata_value_length, limits.max_recursion_depth, limits.max_markdown_expansion_ratio)
+            out = read_html(_decode(data)[0], emit_markdown, limits.max_metadata_value_length, limits.max_recursion_depth, limits.max_markdown_expansion_ratio, bare_references)
         elif mime == "message/rfc822":
             from quirelake.sources.mail import read_mail
 
@@ -104,7 +104,7 @@ def parse_one(data: bytes, mime: str, limits: Limits, emit_markdown: bool, text_
     return asdict(out) | {"error": error}
 
 
-def parse(df: DataFrame, keys: list[str], content: str = "content", mime: str = "mime", limits: Limits = Limits(), emit_markdown: bool = True, text_mode: str = "plain") -> DataFrame:
+def parse(df: DataFrame, keys: list[str], content: str = "content", mime: str = "mime", limits: Limits = Limits(), emit_markdown: bool = True, text_mode: str = "plain", bare_references: bool = True) -> DataFrame:
     """The key columns and PARSED of each row's bytes."""
     if text_mode not in ("plain", "layout"):
         raise ValueError(f"text_mode is plain or layout, not {text_mode!r}")
@@ -115,7 +115,7 @@ def parse(df: DataFrame, keys: list[str], content: str = "content", mime: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [parse_one(bytes(c) if c is not None else b"", m or "", limits, emit_markdown, text_mode, added) for c, m in zip(pdf["__content"], pdf["__mime"], strict=True)]
+            rows = [parse_one(bytes(c) if c is not None else b"", m or "", limits, emit_markdown, text_mode, added, bare_references) for c, m in zip(pdf["__content"], pdf["__mime"], strict=True)]
             rows = [r | {"error": {"kind": "exhausted", "what": "max_input_bytes", "limit": float(limits.max_input_bytes), "observed": None if n is None else float(n)}} if c is None else r for r, c, n in zip(rows, pdf["__content"], pdf["__length"], strict=True)]
             parsed = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _COLUMNS], index=pdf.index)
             yield pd.concat([pdf[keys], parsed], axis=1)
@@ -126,16 +126,16 @@ def parse(df: DataFrame, keys: list[str], content: str = "content", mime: str =
 _COLUMNS = ["text", "title", "author", "language", "created", "modified", "page_count", "extra", "pages", "sections", "tables", "markdown", "warnings", "error"]
 
 
-def extract(files: DataFrame, path: str = "path", content: str = "content", mime: str | None = None, limits: Limits = Limits(), emit_markdown: bool = True, emit_sentences: bool = False, text_mode: str = "plain") -> DataFrame:
+def extract(files: DataFrame, path: str = "path", content: str = "content", mime: str | None = None, limits: Limits = Limits(), emit_markdown: bool = True, emit_sentences: bool = False, text_mode: str = "plain", bare_references: bool = True) -> DataFrame:
     """One result row a file (path, content[, mime]), in the shape of schema.EXTRACTION.
 
     Hostile paths, oversize input and unreadable documents give a row with an error. Parsing is one Python stage; type, fingerprint, word count,
-    sentences and their sections are columns. Bytes are not shuffled.
+    sentences and their sections are columns. Bytes are not shuffled. bare_references: whether HTML's references without a semicolon count.
     """
     given = F.col(mime) if mime else None
     typed = files.withColumn("__kind", detect.mime_type(F.col(content), F.col(path), given))
     stamped = typed.withColumn("source", detect.source_stamp(F.col(content), F.col(path), F.col("__kind")))
-    parsed = parse(stamped.withColumn("__path_error", T.path_error(F.col(path), limits)), ["source", "__path_error"], content, "__kind", limits, emit_markdown, text_mode)
+    parsed = parse(stamped.withColumn("__path_error", T.path_error(F.col(path), limits)), ["source", "__path_error"], content, "__kind", limits, emit_markdown, text_mode, bare_references)
     md = F.col("source.mime_type") == "text/markdown"
     front = F.when(md, sections.frontmatter(F.col("text")))
     told = sections.promoted(F.coalesce(front["fields"], F.create_map().cast("map<string,string>")))

@@ -69,7 +69,7 @@ def test_packs_repeat_their_head():
     assert all(tokens.est_tokens("name | 2023") + sum(map(tokens.est_tokens, p.split("\n")[1:])) <= page.PACK_TOKENS for p in packs)
 
 
-BARE = "<html lang='en'><body><h1>x&amp;&amp</h1><p>&eacute; &amp &copy 1 &notit; &#65 &#65; a&b=c</p></body></html>"
+BARE = '<html lang="en"><body><h1>x&amp;&amp</h1><p>&eacute; &amp &copy 1 &notit; &#65 &#65; a&b=c</p></body></html>'
 
 
 def test_references_end_in_a_semicolon_where_bare_ones_do_not_count(spark):
@@ -97,3 +97,7 @@ def test_html_text_of_pages_cut_in_a_reference(spark, tmp_path):
 
 def test_page_citations_of_pages_cut_in_a_reference(spark, tmp_path):
     _as_its_sql(spark, _pages_cut_in_a_reference(spark, tmp_path), "page_citations")
+
+
+def test_html_extract_of_pages_cut_in_a_reference(spark, tmp_path):
+    _as_its_sql(spark, _pages_cut_in_a_reference(spark, tmp_path), "html_extract")
