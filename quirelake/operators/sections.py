@@ -8,23 +8,36 @@ from pyspark.sql import functions as F
 _HEADING = r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$"
 
 
-def markdown_sections(df: DataFrame, doc: str, text: str = "text", any_level: bool = False) -> DataFrame:
-    """(doc, index, heading, level, text, line_start, line_end) of ATX headings.
+def section_spans(df: DataFrame, doc: str, text: str = "text", any_level: bool = False) -> DataFrame:
+    """(doc, index, heading, level, line_start, line_end) of ATX headings.
 
-    A section ends before the next heading of its level or a higher one (with any_level, before any); its text leaves the heading out and has the
-    sections below it; lines are 1-based, the heading's first. The next such heading of a level is the
-    nearest of at most six running minima, so that no headings are compared in pairs.
+    A section ends before the next heading of its level or a higher one (with any_level, before any); lines are 1-based, the heading's first. The next
+    such heading of a level is the nearest of at most six running minima from the last heading on, so that no headings are compared in pairs
+    and none carries the document's lines.
     """
     lines = df.select(doc, F.split(text, "\n").alias("l"))
-    heads = lines.select(doc, "l", F.posexplode("l").alias("at", "line")).filter(F.col("line").rlike(_HEADING))
-    heads = heads.select(doc, "l", "at", F.length(F.regexp_extract("line", _HEADING, 1)).alias("level"), F.regexp_extract("line", _HEADING, 2).alias("heading"))
-    order = Window.partitionBy(doc).orderBy("at")
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    heads = lines.select(doc, F.size("l").alias("n"), F.posexplode("l").alias("at", "line")).filter(F.col("line").rlike(_HEADING))
+    heads = heads.select(doc, "n", "at", F.length(F.regexp_extract("line", _HEADING, 1)).alias("level"), F.regexp_extract("line", _HEADING, 2).alias("heading"))
+    after = Window.partitionBy(doc).orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ends = [F.min(F.when(F.col("level") <= k, F.col("at"))).over(after) for k in range(1, 7)]
     end = F.min("at").over(after) if any_level else F.element_at(F.array(*ends), F.col("level"))
-    placed = heads.withColumn("end", F.coalesce(end, F.size("l"))).withColumn("index", F.row_number().over(order) - 1)
-    body = F.array_join(F.slice("l", F.col("at") + 2, F.greatest(F.col("end") - F.col("at") - 1, F.lit(0))), "\n")
-    return placed.select(doc, "index", "heading", "level", F.regexp_replace(body, r"^\s+|\s+\z", "").alias("text"), (F.col("at") + 1).alias("line_start"), F.col("end").alias("line_end"))
+    placed = heads.withColumn("end", F.coalesce(end, F.col("n"))).withColumn("index", F.row_number().over(Window.partitionBy(doc).orderBy("at")) - 1)
+    return placed.select(doc, "index", "heading", "level", (F.col("at") + 1).alias("line_start"), F.col("end").alias("line_end"))
+
+
+def markdown_sections(df: DataFrame, doc: str, text: str = "text", any_level: bool = False) -> DataFrame:
+    """section_spans with the sections' text, which leaves the heading out and has the sections below it.
+
+    The spans meet the document as one array, and each text is cut from its lines within the row.
+    """
+    names = ("index", "heading", "level", "line_start", "line_end")
+    spans = section_spans(df, doc, text, any_level).groupBy(F.col(doc).alias("s_doc")).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("s"))
+    met = df.select(doc, F.col(text).alias("t")).join(spans, F.col(doc).eqNullSafe(F.col("s_doc")))
+    body = lambda l, x: F.array_join(F.slice(l, x["line_start"] + 1, x["line_end"] - x["line_start"]), "\n")
+    cut = lambda l, x: F.struct(*[x[n].alias(n) for n in names], F.regexp_replace(body(l, x), r"^\s+|\s+\z", "").alias("text"))
+    # An array of one element: its lines are split once, not once a section.
+    rows = F.flatten(F.transform(F.array(F.split("t", "\n")), lambda l: F.transform("s", lambda x: cut(l, x))))
+    return met.select(doc, F.explode(rows).alias("x")).select(doc, "x.index", "x.heading", "x.level", "x.text", "x.line_start", "x.line_end")
 
 
 def frontmatter(text: Column) -> Column:
