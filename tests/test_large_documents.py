@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quirelake.operators import sections
+from quirelake.operators import sections, sentences
 from quirelake.plans import catalogue
 from tests.duck import rows, views
 
@@ -82,7 +82,7 @@ def plain(con, name):
     return pd.DataFrame(out)
 
 
-NAMES = ["md_sections"]
+NAMES = ["md_sections", "sentence_section"]
 
 
 @pytest.fixture(scope="module")
@@ -106,6 +106,16 @@ def test_a_document_of_very_many_sections(spark, large, name):
     assert rows(catalogue.QUERIES[name](spark, large).toPandas()) == rows(plain(views(large), name))
 
 
+def test_sections_that_overlap_or_leave_gaps(spark):
+    spans = [(0, 1, 10), (1, 3, 20), (2, 5, 6), (3, 5, 6), (4, 30, 30), (5, 8, 7)]
+    asked = [(k, line) for k, line in enumerate([0, 1, 2, 3, 5, 6, 7, 9, 10, 11, 20, 21, 30, 31])]
+    found = spark.createDataFrame([(d, *x) for d in ("a", None) for x in asked], "d string, index int, line_start int")
+    spanned = spark.createDataFrame([(d, *x) for d in ("a", "b", None) for x in spans], "d string, index int, line_start int, line_end int")
+    got = {(r.d, r["index"]): r.section_index for r in sentences.with_sections(found, spanned, "d").collect()}
+    want = {("a", k): min(((b - a, i) for i, a, b in spans if a <= line <= b), default=(0, None))[1] for k, line in asked}
+    assert got == want | {(None, k): None for k, _ in asked}
+
+
 def test_sections_of_any_level_and_of_no_document(spark):
     docs = spark.createDataFrame([("a", "x\n# A\na\n\n### B\nb\n## C\n\n c\n# D"), ("b", "no heading"), (None, "# N\nn"), ("d", None)], "d string, text string")
     tree = {(r.d, r["index"]): (r.heading, r.level, r.text, r.line_start, r.line_end) for r in sections.markdown_sections(docs, "d").collect()}
