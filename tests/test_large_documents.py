@@ -82,7 +82,7 @@ def plain(con, name):
     return pd.DataFrame(out)
 
 
-NAMES = ["md_sections", "sentence_section"]
+NAMES = ["md_sections", "sentence_section", "citations"]
 
 
 @pytest.fixture(scope="module")
