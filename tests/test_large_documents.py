@@ -82,7 +82,7 @@ def plain(con, name):
     return pd.DataFrame(out)
 
 
-NAMES = ["md_sections", "sentence_section", "citations"]
+NAMES = ["md_sections", "sentence_section", "citations", "chunk_cite"]
 
 
 @pytest.fixture(scope="module")
