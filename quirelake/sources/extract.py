@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quirelake import ship
 from quirelake.functions import text as T
 from quirelake.operators import detect, sections, sentences
 from quirelake.schema import SPEC_VERSION, Limits
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 _TABLE = "struct<client_table_hint:string,title:string,headers:array<string>,rows:array<array<string>>,page:int,bbox:array<double>>"
 _SECTION = "struct<heading:string,level:int,text:string,line_start:int,line_end:int>"
 _PAGE = "struct<index:int,text:string,line_start:int,line_end:int>"
@@ -109,21 +114,27 @@ def parse(df: DataFrame, keys: list[str], content: str = "content", mime: str =
     if text_mode not in ("plain", "layout"):
         raise ValueError(f"text_mode is plain or layout, not {text_mode!r}")
     ship(df.sparkSession)
+    types = to_arrow_schema(StructType.fromDDL(PARSED))
     narrow = df.select(*keys, F.col(content).alias("__content"), F.col(mime).alias("__mime"), (F.col("length") if "length" in df.columns else F.lit(None)).cast("double").alias("__length"))
     kinds = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys)
     added = dict(_ADDED)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [parse_one(bytes(c) if c is not None else b"", m or "", limits, emit_markdown, text_mode, added, bare_references) for c, m in zip(pdf["__content"], pdf["__mime"], strict=True)]
-            rows = [r | {"error": {"kind": "exhausted", "what": "max_input_bytes", "limit": float(limits.max_input_bytes), "observed": None if n is None else float(n)}} if c is None else r for r, c, n in zip(rows, pdf["__content"], pdf["__length"], strict=True)]
-            parsed = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _COLUMNS], index=pdf.index)
-            yield pd.concat([pdf[keys], parsed], axis=1)
-
-    return narrow.mapInPandas(run, f"{kinds}, {PARSED}")
-
-
-_COLUMNS = ["text", "title", "author", "language", "created", "modified", "page_count", "extra", "pages", "sections", "tables", "markdown", "warnings", "error"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for c, m, n in zip(*(batch.column(k) for k in range(len(keys), len(keys) + 3)), strict=True):
+                c, n = c.as_py(), n.as_py()
+                r = parse_one(c if c is not None else b"", m.as_py() or "", limits, emit_markdown, text_mode, added, bare_references)
+                if c is None:
+                    r["error"] = {"kind": "exhausted", "what": "max_input_bytes", "limit": float(limits.max_input_bytes), "observed": n}
+                r["extra"] = list(r["extra"].items())
+                rows.append(r)
+            parsed = [pa.array([r[t.name] for r in rows], t.type) for t in types]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), *parsed], [*keys, *types.names])
+
+    return narrow.mapInArrow(run, f"{kinds}, {PARSED}")
 
 
 def extract(files: DataFrame, path: str = "path", content: str = "content", mime: str | None = None, limits: Limits = Limits(), emit_markdown: bool = True, emit_sentences: bool = False, text_mode: str = "plain", bare_references: bool = True) -> DataFrame:

@@ -279,3 +279,22 @@ def test_dehyphenation():
     assert K.dehyphenate(["Lieferungs-", "und Leistung"]) == "Lieferungs- und Leistung"
     assert K.dehyphenate(["Ost-", "Schweiz"]) == "Ost-Schweiz"
     assert K.dehyphenate(["Ost-", "Schweiz"], frozenset(["ostschweiz"])) == "Ostschweiz"
+
+
+def test_objects_of_a_pdf_are_read_once(monkeypatch):
+    from quirelake.plans.fixtures import pdf as make
+    from quirelake.sources import pdf
+
+    places, plain = [], pdf.Document._value
+    monkeypatch.setattr(pdf.Document, "_value", lambda self, at: (places.append(at), plain(self, at))[1])
+    out = pdf.read_pdf(make([[f"(page {k}) \\ (a(b)", "x"] for k in range(50)], "t"))
+    assert out.page_count == 50 and out.text.startswith("(page 0) \\ (a(b)\nx\n\n(page 1)") and out.title == "t"
+    assert len(places) == len(set(places)) == 3 + 2 * 50 + 1 + 1
+
+
+def test_parsing_leaves_key_columns_in_arrow(spark):
+    files = spark.createDataFrame([("a/b.txt", bytearray(b"x  \ny"))], "path string, content binary")
+    out = E.extract(files)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    r = out.first()
+    assert r.content.text == "x\ny" and r.source.filename == "b.txt" and r.metadata.extra == {"txt:charset": "utf-8"} and r.error is None
