@@ -122,3 +122,41 @@ def test_sections_of_any_level_and_of_no_document(spark):
     assert tree == {("a", 0): ("A", 1, "a\n\n### B\nb\n## C\n\n c", 2, 9), ("a", 1): ("B", 3, "b", 5, 6), ("a", 2): ("C", 2, "c", 7, 9), ("a", 3): ("D", 1, "", 10, 10), (None, 0): ("N", 1, "n", 1, 2)}
     flat = sections.markdown_sections(docs.filter("d = 'a'"), "d", any_level=True).orderBy("index").collect()
     assert [(r.heading, r.line_start, r.line_end, r.text) for r in flat] == [("A", 2, 4, "a"), ("B", 5, 6, "b"), ("C", 7, 9, "c"), ("D", 10, 10, "")]
+
+
+def text_shuffles(frame):
+    """How many exchanges have a column named text."""
+
+    def walk(node):
+        names = [node.output().apply(k).name() for k in range(node.output().size())]
+        below = node.children()
+        return (node.nodeName() == "Exchange" and "text" in names) + sum(walk(below.apply(k)) for k in range(below.size()))
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize(("name", "most"), [("sentence_section", 0), ("chunk_cite", 0)])
+def test_texts_are_shuffled_once(spark, sf, name, most):
+    """Sentences meet their chunk, as the buffers of its sum, in one shuffle of their texts."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert text_shuffles(catalogue.QUERIES[name](spark, sf)) <= most
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_headings_of_sentences_in_equal_sections_and_in_none(spark):
+    spans = spark.createDataFrame([("a", 0, 2, 9, "A"), ("a", 1, 4, 5, None), ("a", 1, 4, 5, "twin"), ("b", 0, 1, 1, "B")], "d string, index int, line_start int, line_end int, heading string")
+    lines = [("a", 0, 1), ("a", 1, 2), ("a", 2, 4), ("a", 3, 9), ("a", 4, 10), ("a", 5, 11), ("b", 0, 1), ("c", 0, 1), (None, 0, 1)]
+    found = spark.createDataFrame([(d, i, f"s{i}", i, i + 1, n, n) for d, i, n in lines], "d string, index int, text string, char_start int, char_end int, line_start int, line_end int")
+    told = {(r.d, r["index"]): (r.section_index, r.heading) for r in sentences.with_sections(found, spans, "d", ["heading"]).collect()}
+    assert told.pop(("a", 2)) in ((1, None), (1, "twin"))
+    assert told == {("a", 0): (None, None), ("a", 1): (0, "A"), ("a", 3): (0, "A"), ("a", 4): (None, None), ("a", 5): (None, None), ("b", 0): (0, "B"), ("c", 0): (None, None), (None, 0): (None, None)}
+    one = spans.filter("heading is not null")
+    chunks = {(r.d, r.chunk): (r.text, r.char_start, r.char_end, r.line_start, r.line_end, r.headings) for r in sentences.chunks(found, "d", 4, sentences.section_links(found, one, "d", ["heading"])).collect()}
+    assert chunks == {
+        ("a", 0): ("s0 s1 s2 s3", 0, 4, 1, 9, ["A", "twin"]), ("a", 1): ("s4 s5", 4, 6, 10, 11, []), ("b", 0): ("s0", 0, 1, 1, 1, ["B"]), ("c", 0): ("s0", 0, 1, 1, 1, []), (None, 0): ("s0", 0, 1, 1, 1, []),
+    }
