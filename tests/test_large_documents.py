@@ -135,9 +135,9 @@ def text_shuffles(frame):
     return walk(frame._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize(("name", "most"), [("sentence_section", 0), ("chunk_cite", 0)])
+@pytest.mark.parametrize(("name", "most"), [("sentence_section", 0), ("citations", 1), ("chunk_cite", 0)])
 def test_texts_are_shuffled_once(spark, sf, name, most):
-    """Sentences meet their chunk, as the buffers of its sum, in one shuffle of their texts."""
+    """Sentences meet their heading, or their chunk (as the buffers of its sum), in one shuffle of their texts."""
     was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
     try:
         spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -152,7 +152,7 @@ def test_headings_of_sentences_in_equal_sections_and_in_none(spark):
     spans = spark.createDataFrame([("a", 0, 2, 9, "A"), ("a", 1, 4, 5, None), ("a", 1, 4, 5, "twin"), ("b", 0, 1, 1, "B")], "d string, index int, line_start int, line_end int, heading string")
     lines = [("a", 0, 1), ("a", 1, 2), ("a", 2, 4), ("a", 3, 9), ("a", 4, 10), ("a", 5, 11), ("b", 0, 1), ("c", 0, 1), (None, 0, 1)]
     found = spark.createDataFrame([(d, i, f"s{i}", i, i + 1, n, n) for d, i, n in lines], "d string, index int, text string, char_start int, char_end int, line_start int, line_end int")
-    told = {(r.d, r["index"]): (r.section_index, r.heading) for r in sentences.with_sections(found, spans, "d", ["heading"]).collect()}
+    told = {(r.d, r["index"]): (r.section_index, r.heading) for r in sentences.citations(found, spans, "d").collect()}
     assert told.pop(("a", 2)) in ((1, None), (1, "twin"))
     assert told == {("a", 0): (None, None), ("a", 1): (0, "A"), ("a", 3): (0, "A"), ("a", 4): (None, None), ("a", 5): (None, None), ("b", 0): (0, "B"), ("c", 0): (None, None), (None, 0): (None, None)}
     one = spans.filter("heading is not null")
