@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Share of all rows from which the rows of one key are named by broadcast; the table of such keys has 1 / HOT_SHARE rows at most.
 HOT_SHARE = 1e-4
+#: Bytes of text that go to Python at a time, where the session's configuration names no number; each task holds several times as many.
+ARROW_BYTES = 2 << 20
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -72,8 +74,12 @@ def packed(df: DataFrame) -> DataFrame:
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1024) -> DataFrame:
     """df.mapInArrow(run, schema) within bounded memory: run gets `rows` rows at a time, and what a task has freed goes back to the machine.
 
-    Spark keeps Python workers for other tasks, and with them whatever their allocators hold on to.
+    Spark keeps Python workers for other tasks, and with them whatever their allocators hold on to. Its own bound of 64 MB a batch
+    is held several times over, by the worker and outside the heap of the executor, which keeps it as well.
     """
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(limit, None) is None:
+        conf.set(limit, str(ARROW_BYTES))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))

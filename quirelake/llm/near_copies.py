@@ -125,18 +125,23 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
 
     In any one order of all shingles, two sets share no more than what follows the first that they have in common, itself
     included, in either. So a shingle at some place of a set bounds how large a partner that meets it there may be (cap), and few places in
-    front need a look. The order here is by the number of sets that have a shingle, so that what many share comes last. Places that no partner in reach meets, by the
+    front need a look. The order here is that of the sets, with shingles that many share last, by their number; only these are joined and sorted, and
+    what is written down for later holds the front of a set as one row. Places that no partner in reach meets, by the
     smallest set and the largest cap among a shingle's places, are left out before the join, and pairs within a shingle's most frequent
     component are never made. No pair is lost.
     """
     num, den = AT_LEAST
-    each = cut_lineage(rest.join(sets, "node").select("node", "size", "comp", F.explode("shingles").alias("s")))
-    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMMON)
-    placed = each.join(_small(cut_lineage(common)), "s", "left").select("node", "size", "comp", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s").alias("at"))
+    own = sets.join(_small(rest), "node").select("node", "size", "comp", "shingles")
+    each = own.select("node", F.explode("shingles").alias("s"))
+    common = cut_lineage(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMMON))
+    last = each.join(_small(common), "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("last"))
+    last = last.select("node", F.col("last.s").alias("last"))
+    none = F.array().cast("array<bigint>")
+    order = F.concat(F.array_except("shingles", F.coalesce("last", none)), F.coalesce("last", none))
     lacking = F.col("size") - F.ceil(F.col("size") * num / den - 1e-9)
-    first = placed.groupBy("node", "size", "comp").agg(F.sort_array(F.collect_list("at")).alias("all"))
-    first = first.select("node", "size", "comp", F.posexplode(F.transform(F.slice("all", F.lit(1), (lacking + 1).cast("int")), lambda x: x["s"])).alias("place", "s"))
-    first = cut_lineage(first.withColumn("cap", F.floor((F.col("size") - F.col("place")) * (num + den) / num + 1e-9) - F.col("size")).drop("place"))
+    front = cut_lineage(own.join(last, "node", "left").select("node", "size", "comp", F.slice(order, F.lit(1), (lacking + 1).cast("int")).alias("front")))
+    first = front.select("node", "size", "comp", F.posexplode("front").alias("place", "s"))
+    first = first.withColumn("cap", F.floor((F.col("size") - F.col("place")) * (num + den) / num + 1e-9) - F.col("size")).drop("place")
     by = first.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("cap").alias("high"))
     by = by.groupBy("s").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.min("low").alias("low"), F.max("high").alias("high"))
     shared = cut_lineage(by.filter("comps > 1 and high >= low").select("s", "major", "low", "high"))

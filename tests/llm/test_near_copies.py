@@ -92,3 +92,31 @@ def test_bands_find_each_kind_of_copy(kind):
             all_pairs += 1
             met += bool(np.any(keys[0] == keys[1]))
         assert met >= 0.98 * all_pairs
+
+
+def test_prefix_pairs_lose_none_and_write_fronts_only(spark, monkeypatch):
+    """Shingles that many sets share come last in every set; no row a shingle of each set is written down."""
+    rng = random.Random(6)
+
+    def draw(n):
+        return [rng.getrandbits(64) for _ in range(n)]
+
+    base = draw(200)
+    sets = [set(base[rng.randrange(30) :]) | set(draw(rng.randrange(30))) for _ in range(30)]
+    for _ in range(4):  # shingles of their own, in too few sets to be common
+        own = draw(100)
+        sets += [set(own[k:]) for k in (0, 5, 10)]
+    written = []
+
+    def counted(df, cut=near_copies.cut_lineage):
+        written.append((kept := cut(df)).count())
+        return kept
+
+    monkeypatch.setattr(near_copies, "cut_lineage", counted)
+    rows = [(i, np.sort(np.array(list(s), np.uint64)).view(np.int64).tolist()) for i, s in enumerate(sets)]
+    rest = spark.createDataFrame([(i, len(s), i) for i, s in rows], "node long, size long, comp long")
+    got = near_copies.prefix_pairs(rest, spark.createDataFrame(rows, "node long, shingles array<long>"))
+    got = {tuple(sorted((r.a, r.b))) for r in got.collect()}
+    want = {(i, j) for i, j in combinations(range(len(sets)), 2) if alike(sets[i], sets[j])}
+    assert len(want) > 50 and want <= got
+    assert max(written) < 0.5 * sum(map(len, sets))
